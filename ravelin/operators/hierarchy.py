@@ -55,7 +55,7 @@ def resolve(spark: SparkSession, links: DataFrame) -> DataFrame:
             look = look.unionByName(d)
         look = look.select(F.col("node").alias("_n"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("done").alias("_done"))
         step = cut(
-            lookup_join(active, look, "ptr", "_n", "inner").select(
+            lookup_join(active, look, "ptr", "_n", "inner", rows=left).select(
                 "node", F.col("_ptr").alias("ptr"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done")
             )
         )
@@ -70,17 +70,17 @@ def resolve(spark: SparkSession, links: DataFrame) -> DataFrame:
         out = out.unionByName(d)
     out = out.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"))
     if left:
-        out = out.unionByName(_circles(cut, links, active.select("node", "ptr")))
+        out = out.unionByName(_circles(cut, links, active.select("node", "ptr"), left))
     return out
 
 
-def _circles(cut: Cut, links: DataFrame, jumps: DataFrame) -> DataFrame:
+def _circles(cut: Cut, links: DataFrame, jumps: DataFrame, rows: int) -> DataFrame:
     """(node, root, -1) for nodes that never reach a root; ``jumps`` maps each some steps up."""
     # The image of the jump shrinks until it is exactly the set of nodes on circles.
     n = jumps.select("ptr").distinct().count()
     while True:
         look = jumps.select(F.col("node").alias("_n"), F.col("ptr").alias("_ptr"))
-        jumps = cut(lookup_join(jumps, look, "ptr", "_n", "inner").select("node", F.col("_ptr").alias("ptr")))
+        jumps = cut(lookup_join(jumps, look, "ptr", "_n", "inner", rows=rows).select("node", F.col("_ptr").alias("ptr")))
         m = jumps.select("ptr").distinct().count()
         if m == n:
             break
@@ -98,7 +98,7 @@ def _circles(cut: Cut, links: DataFrame, jumps: DataFrame) -> DataFrame:
             break
         ring = ring.drop("moved")
     low = ring.select(F.col("node").alias("_n"), F.col("low").alias("root"))
-    return lookup_join(jumps, low, "ptr", "_n", "inner").select("node", "root", F.lit(-1).alias("depth"))
+    return lookup_join(jumps, low, "ptr", "_n", "inner", rows=rows).select("node", "root", F.lit(-1).alias("depth"))
 
 
 def paths(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -113,13 +113,13 @@ def paths(spark: SparkSession, links: DataFrame) -> DataFrame:
     base = links.join(sound.select("node", "depth"), "node")
     state = cut(base.select("node", F.col("parent").alias("ptr"), F.array("node").alias("seg"), (F.col("depth") == 1).alias("done")))
     done, active = [state.where("done")], state.where(~F.col("done"))
-    while active.limit(1).count():
+    while left := active.count():
         look = active
         for d in done:
             look = look.unionByName(d)
         look = look.select(F.col("node").alias("_n"), F.col("ptr").alias("_ptr"), F.col("seg").alias("_seg"), F.col("done").alias("_done"))
         step = cut(
-            lookup_join(active, look, "ptr", "_n", "inner").select(
+            lookup_join(active, look, "ptr", "_n", "inner", rows=left).select(
                 "node", F.col("_ptr").alias("ptr"), F.concat("_seg", "seg").alias("seg"), F.col("_done").alias("done")
             )
         )

@@ -23,15 +23,16 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02, least: int = LEAST_HO
     return [r[0] for r in top if r["_n"] >= share * total]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salts: int = 64, share: float = 0.02, least: int = LEAST_HOT_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", salts: int = 64, share: float = 0.02, least: int = LEAST_HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Equi-join of ``left`` with a table ``right`` that has one row per key.
 
     Rows of ``left`` with a hot key are spread over ``salts`` partitions; only the few
     matching rows of ``right`` are repeated.  ``right_key`` is not in the result.  Null
-    keys match nothing.
+    keys match nothing.  ``rows``, if the caller knows the number of rows of ``left``,
+    saves the count of keys where no key can reach ``least``.
     """
     right = right.withColumnRenamed(right_key, "_rkey")
-    hot = hot_keys(left, left_key, share, least)
+    hot = [] if rows is not None and rows < least else hot_keys(left, left_key, share, least)
     if not hot:
         return left.join(right, F.col(left_key) == F.col("_rkey"), how).drop("_rkey")
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
