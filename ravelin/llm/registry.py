@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_code"]
+MODULES = ["q_code", "q_text"]
 
 
 def _modules():
