@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_code", "q_text"]
+MODULES = ["q_code", "q_text", "q_corpus"]
 
 
 def _modules():
