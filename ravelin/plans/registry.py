@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.plans import core_pipeline
+MODULES = ["core_pipeline", "core_graph"]
+
 
-MODULES = [core_pipeline]
+def _modules():
+    return [importlib.import_module(f"ravelin.plans.{m}") for m in MODULES]
 
 
 def queries():
-    return {k: f for m in MODULES for k, f in m.queries().items()}
+    return {k: f for m in _modules() for k, f in m.queries().items()}
 
 
 def oracle():
-    return {k: q for m in MODULES for k, q in m.oracle().items()}
+    return {k: q for m in _modules() for k, q in m.oracle().items()}
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return core_pipeline.p2_found(spark, root)
+    return queries()["p2_found"](spark, root)
