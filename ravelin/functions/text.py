@@ -83,7 +83,7 @@ def expand_braces(pattern: str) -> list[str]:
 def lines(c: Column) -> Column:
     """Lines without line ends; a final line end makes no further line."""
     body = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n", "\n")
-    return F.split(F.regexp_replace(body, "\n$", ""), "\n", -1)
+    return F.split(F.regexp_replace(body, "\n\\z", ""), "\n", -1)
 
 
 def content_terms(c: Column, stop: list[str]) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["core_pipeline", "core_graph"]
+MODULES = ["core_pipeline", "core_graph", "core_text", "core_rank", "core_store"]
 
 
 def _modules():
@@ -22,4 +22,4 @@ def oracle():
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return queries()["p2_found"](spark, root)
+    return queries()["flagship"](spark, root)
