@@ -50,13 +50,9 @@ def plan(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     Adds ``change``: ``added`` or ``changed``.  Both sides have one row per path.  A null
     checksum on one side only counts as a change; on both sides as none.
     """
-    m = manifest.select(F.col("path").alias("_path"), F.col("checksum").alias("_checksum"))
-    j = listing.join(m, listing["path"] == m["_path"], "left")
-    return (
-        j.where(F.col("_path").isNull() | ~F.col("checksum").eqNullSafe(F.col("_checksum")))
-        .withColumn("change", F.when(F.col("_path").isNull(), "added").otherwise("changed"))
-        .drop("_path", "_checksum")
-    )
+    j = listing.drop("change").alias("l").join(manifest.select("path", "checksum").alias("m"), F.col("l.path") == F.col("m.path"), "left")
+    new, same = F.col("m.path").isNull(), F.col("l.checksum").eqNullSafe(F.col("m.checksum"))
+    return j.where(new | ~same).select("l.*", F.when(new, "added").otherwise("changed").alias("change"))
 
 
 def rows_of_runs(rows: DataFrame, at: str, runs: DataFrame, ok: str = "ok") -> DataFrame:
