@@ -111,6 +111,8 @@ class _Shapes(dict):
         self.fixed = {w: KW[w] for w in KEYWORDS[lang].split()} | OPS
         if lang != "python":  # a bare ``//`` is an empty comment
             del self.fixed["//"], self.fixed["//="]
+        if lang not in ("kotlin", "php"):  # no operator of its own
+            self.fixed["?:"] = "?:"
         super().__init__(self.fixed)
 
     def __missing__(self, t: str) -> str:
