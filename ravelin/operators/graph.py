@@ -72,12 +72,13 @@ def search(nodes: DataFrame, needle: str, kind: str | None = None, limit: int =
     """Phrase search; substring search where the phrase finds nothing at all."""
     if kind:
         nodes = nodes.where(F.col("kind") == kind)
-    found = search_phrase(nodes, needle)
-    none = found.agg(F.count(F.lit(1)).alias("_c")).where("_c = 0").select(F.lit(1).alias("_none"))
-    other = search_substring(nodes, needle).withColumn("score", F.lit(0.0)).crossJoin(F.broadcast(none)).drop("_none")
     if not needle.strip():
-        other = other.limit(0)
-    return found.unionByName(other).orderBy(F.desc("score"), span(), "qualified_name", "id").limit(max(limit, 1))
+        return nodes.limit(0).withColumn("score", F.lit(0.0))
+    order = [F.desc("score"), span(), "qualified_name", "id"]
+    found = Cut(nodes.sparkSession, "search")(search_phrase(nodes, needle).orderBy(*order).limit(max(limit, 1)))
+    if found.limit(1).count():
+        return found.orderBy(*order)
+    return search_substring(nodes, needle, limit).withColumn("score", F.lit(0.0))
 
 
 def call_sites(nodes: DataFrame, edges: DataFrame, symbol: str, callers: bool = True) -> DataFrame:

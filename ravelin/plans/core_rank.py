@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.operators import chunking, fusion, graph, search
+from ravelin.session import Cut
 from ravelin.sources.tables import load
 
 FLAGSHIP = "parse the frozen header and lock the socket"
@@ -121,10 +122,12 @@ def flagship(spark: SparkSession, d: str, query: str = FLAGSHIP, limit: int = 10
     )
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     one = Window.partitionBy(F.lit(0)).orderBy("origin", "package", "rank", "path", "start_line")
-    u = u.withColumn("seq", F.row_number().over(one).cast("bigint")).withColumn("from_original", F.lit(True)).withColumn("rrf", fusion.rrf(F.col("rank"), 2.0))
+    cut = Cut(spark, "query")
+    # At most 3 * fetch hits from here on; they are read again by several stages.
+    u = cut(u).withColumn("seq", F.row_number().over(one).cast("bigint")).withColumn("from_original", F.lit(True)).withColumn("rrf", fusion.rrf(F.col("rank"), 2.0))
     q = F.lit(query)
     pool = fusion.first_pass(fusion.pool(fusion.fuse(u), 20), q)
-    big = fusion.expand(pool, code.select("package", "path", "symbol", "start_line", "content")).withColumn("_b", F.coalesce("body", "snippet"))
+    big = cut(fusion.expand(pool, code.select("package", "path", "symbol", "start_line", "content")).withColumn("_b", F.coalesce("body", "snippet")))
     ranked = fusion.above_floor(fusion.two_passes(big, chunking.kwic(big, ["key"], "_b"), q, limit))
     merged = fusion.islands(ranked.select("package", "path", "origin", "start_line", "end_line", "position", "score"))
     return merged.orderBy("position").limit(limit).select("position", "package", "path", "is_docs", "start_line", "end_line", "score", "merged_count")
