@@ -250,15 +250,23 @@ def _file(rows: list[tuple]) -> list[tuple]:
             links.append((k, k, own))
         else:
             rest.append(k)
-    if rest:
-        taken = {j for _, j, _ in links}
-        cols = sorted({j for k in rest for j, _ in options[k]} - taken)
-        w = np.zeros((len(rest), len(cols)))
-        for a, k in enumerate(rest):
+    taken = {j for _, j, _ in links}
+    # Comments compete only with near ones: each stretch of neighbours is its own problem.
+    stretches: list[list[int]] = []
+    for k in sorted(rest):
+        if stretches and k - stretches[-1][-1] <= 2 * REACH:
+            stretches[-1].append(k)
+        else:
+            stretches.append([k])
+    for some in stretches:
+        cols = {j: b for b, j in enumerate(sorted({j for k in some for j, _ in options[k]} - taken))}
+        w = np.zeros((len(some), len(cols)))
+        for a, k in enumerate(some):
             for j, x in options[k]:
-                if j not in taken:
-                    w[a, cols.index(j)] = x
-        links += [(rest[a], cols[b], float(w[a, b])) for a, b in assign(w) if w[a, b] >= LEAST_WEIGHT]
+                if j in cols:
+                    w[a, cols[j]] = x
+        back = list(cols)
+        links += [(some[a], back[b], float(w[a, b])) for a, b in assign(w) if w[a, b] >= LEAST_WEIGHT]
     return [(rows[j]["id"], rows[k]["id"], rows[j]["signature"] or rows[j]["name"], parsed[k][0], x, informative(parsed[k][0], rows[j]["name"], parsed[j][2])) for k, j, x in links]
 
 
@@ -281,11 +289,12 @@ def links(nodes: DataFrame) -> DataFrame:
     to each function or method.
 
     Symbols are gathered by file and block of ``BLOCK_LINES`` lines, sorted by line, so no
-    task holds more than the symbols of one block.  Null, blank and repeated docstrings,
+    task holds more than the symbols of one block; symbols without a file are spread by
+    their id and have no neighbours.  Null, blank and repeated docstrings,
     null signatures, names and lines give no link or an uninformative one.
     """
     n = newest(nodes).withColumn("_block", (F.coalesce("start_line", F.lit(0)) / BLOCK_LINES).cast("int"))
-    key = F.xxhash64(F.coalesce("package", F.lit("")), F.coalesce("file_path", F.lit("")), "_block")
+    key = F.xxhash64(F.coalesce("package", F.lit("")), F.coalesce("file_path", F.concat(F.lit("\\"), F.col("id"))), "_block")
     s = n.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key", "file_path", "start_line", "id")
     names = ["_key", "id", "name", "signature", "docstring"]
 

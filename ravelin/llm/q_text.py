@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import docpairs, markup, splitting, stuffing
+from ravelin.llm import docpairs, markup, pagediff, splitting, stuffing
 from ravelin.llm.batches import map_batches
 from ravelin.sources.tables import load
 
@@ -62,6 +62,12 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return map_batches(_marked(spark, d), _cleaned, "item_kind string, item_id bigint, text string").distinct()
 
 
+def p7_shared_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines each document slice shares with the nearest page of its package."""
+    pages = load(spark, d, "doc_slices").dropDuplicates(["slice_id"]).select(F.col("package").alias("host"), "path", F.col("slice_id").alias("item_id"), F.col("content").alias("text"))
+    return pagediff.shared_lines(pages)
+
+
 def p10_pages(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.pages(load(spark, d, "documents"))
 
@@ -71,7 +77,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_pairs, p6_found, p6_pieces, p7_found, p7_clean, p10_found, p10_pages)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p6_found, p6_pieces, p7_found, p7_clean, p7_shared_lines, p10_found, p10_pages)}
 
 
 def oracle():

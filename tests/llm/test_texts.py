@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ravelin.llm import docpairs, leakage, markup, mixing, splitting, stuffing
+from ravelin.llm import docpairs, leakage, markup, mixing, pagediff, splitting, stuffing
 
 NODE = "id string, package string, kind string, name string, file_path string, start_line int, docstring string, signature string, updated_at long, weight string, _key string"
 
@@ -172,3 +172,23 @@ def test_token_sizes_are_the_tokenizers(spark):
     df = spark.createDataFrame([(1, "X", "hello world <|endoftext|>", "t"), (2, None, None, "t"), (3, "x", "", "t")], "doc_id long, source string, text string, tokens string")
     got = {r["doc_id"]: r["tokens"] for r in mixing.sizes(df).collect()}
     assert got == {1: len(mixing.tokenizer(None).encode_ordinary("hello world <|endoftext|>")), 2: 0, 3: 0}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", " "]), max_size=9), st.lists(st.sampled_from(["a", "b", "c", " "]), max_size=9))
+def test_page_alignment_is_a_longest_common_subsequence(a, b):
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i + 1][j + 1] = d[i][j] + 1 if x == y and x.strip() else max(d[i][j + 1], d[i + 1][j])
+    c = sorted(pagediff.common(a, b))
+    rest = iter(a)
+    assert len(c) == d[-1][-1] and all(b[k] in rest for k in c)
+
+
+def test_page_differencing(spark):
+    rows = [("h", "h/docs/a.md", 1, "top\none\nend"), ("h", "h/docs/b.md", 2, "top\ntwo\nend"), ("g", "g/docs/c.md", 3, "top\nthree\nend"), ("h", "h/docs/d.md", 4, None), (None, None, 5, "top")]
+    p = spark.createDataFrame(rows, "host string, path string, item_id long, text string")
+    assert {r["item_id"]: (r["lines"], r["shared"]) for r in pagediff.shared_lines(p).collect()} == {1: (3, 0), 2: (3, 2), 3: (3, 0), 4: (0, 0), 5: (1, 0)}
+    assert {r["item_id"]: r["text"] for r in pagediff.without_shared(p).collect()}[2] == "two"
+    assert pagediff.shared_lines(p.limit(0)).count() == 0
