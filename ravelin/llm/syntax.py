@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 #: Extension to language (fixed values).
 LANGUAGE = {
@@ -51,6 +52,7 @@ RIGHT = set("≔=⇒⁇⋆?")
 BAD = "�"
 
 
+@lru_cache(maxsize=None)
 def _kw(*names: str) -> str:
     return "".join(KW[n] for n in names)
 
@@ -3112,6 +3114,16 @@ def faults(lang: str, text: str, memo: bool = True) -> list[tuple[int, str]]:
     return Parser(lang, s).file()
 
 
+def begins(lang: str, text: str, within: int = 40, look: int = 400) -> bool:
+    """True if the text begins in the language: no error in its first ``within`` tokens."""
+    s = shape(lang, text[: 40 * look])[:look].rstrip("\n")
+    if lang in ("python", "ruby"):
+        found = _by_lines(lang, s)
+    else:
+        found = Parser(lang, s).file()
+    return not any(at < min(within, len(s)) for at, _ in found)
+
+
 def located(lang: str, text: str, errors: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The errors with line numbers, from 1, in the order of the text."""
     shape(lang, "")
