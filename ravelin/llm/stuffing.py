@@ -46,7 +46,13 @@ FUNCTION = frozenset(
 
 def repeated(seq: list[int], times: int = REPEATS, least: int = LEAST_LENGTH) -> list[bool]:
     """Which positions lie in a substring of at least ``least`` symbols that occurs at
-    least ``times`` times, by a suffix automaton with occurrence counts."""
+    least ``times`` times."""
+    return covers(seq, (times,), least)[0]
+
+
+def covers(seq: list[int], several: tuple[int, ...], least: int = LEAST_LENGTH) -> list[list[bool]]:
+    """``repeated`` for several numbers of times, from one suffix automaton with
+    occurrence counts."""
     n = len(seq)
     nxt: list[dict] = [{}]
     link, length, count = [-1], [0], [0]
@@ -81,23 +87,26 @@ def repeated(seq: list[int], times: int = REPEATS, least: int = LEAST_LENGTH) ->
     for v in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
         if link[v] > 0:
             count[link[v]] += count[v]
-    # The longest repeated suffix at each prefix, found once a state.
-    best = [-1] * len(nxt)
-    best[0] = 0
-    for v in sorted(range(1, len(nxt)), key=length.__getitem__):
-        best[v] = length[v] if count[v] >= times else best[link[v]]
-    out = [False] * n
-    reach = n
-    for i in range(n - 1, -1, -1):
-        k = best[ends[i]]
-        if k >= least and i - k + 1 < reach:
-            reach = i - k + 1
-        if i >= reach:
-            out[i] = True
-        if i == reach:
-            reach = n
-    # Coverage runs leftwards from each end, so a pass per end is not needed.
-    return out
+    # The longest repeated suffix at each prefix, found once a state; coverage runs
+    # leftwards from each end.
+    order = sorted(range(1, len(nxt)), key=length.__getitem__)
+    results = []
+    for times in several:
+        best = [0] * len(nxt)
+        for v in order:
+            best[v] = length[v] if count[v] >= times else best[link[v]]
+        out = [False] * n
+        reach = n
+        for i in range(n - 1, -1, -1):
+            k = best[ends[i]]
+            if k >= least and i - k + 1 < reach:
+                reach = i - k + 1
+            if i >= reach:
+                out[i] = True
+            if i == reach:
+                reach = n
+        results.append(out)
+    return results
 
 
 def measure(text: str | None) -> tuple[int, int, int]:
@@ -120,16 +129,17 @@ def measure(text: str | None) -> tuple[int, int, int]:
             if w not in FUNCTION:
                 seq.append(index.setdefault(w.rstrip("s") or w, len(index)))
                 place.append((k, len(w)))
-    cover = repeated(seq)
+    cover, twice = covers(seq, (REPEATS, 2))
     freq = Counter(seq)
     floor = max(KEYWORD_COUNT, KEYWORD_SHARE * len(seq))
-    content, own, chars = Counter(), Counter(), 0
-    for (k, n), c, s in zip(place, cover, seq):
+    content, own, once, chars = Counter(), Counter(), Counter(), 0
+    for (k, n), c, c2, s in zip(place, cover, twice, seq):
         content[k] += 1
         if c or freq[s] >= floor:
             chars += n
         else:
             own[k] += 1
+            once[k] += not c2
     all_words = piled = 0
     for k, (seg, urls, words, total) in enumerate(segments):
         all_words += total
@@ -141,8 +151,10 @@ def measure(text: str | None) -> tuple[int, int, int]:
         hashes = len(_HASH.findall(seg))
         items = max(seg.count(","), seg.count("|"), seg.count(";"), seg.count("/") - 3 * urls - 2 * (urls > 0))
         clause = function >= 2 and function >= 0.16 * n
-        mine = own[k] / content[k] if content[k] else 1.0
-        if clause and (mine >= LEAST_OWN or content[k] < 3):
+        # A clause must have words of its own; in a mere phrase a second occurrence is enough
+        # to make a word a repeated one.
+        mine = (own if clause else once)[k] / content[k] if content[k] else 1.0
+        if clause and mine >= LEAST_OWN:
             continue
         listed = hashes >= 3 or (items >= 4 and items >= 0.2 * n and not clause) or (urls and not clause)
         if listed or (content[k] and mine < LEAST_OWN):
