@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ravelin.functions import text
 
@@ -41,7 +42,7 @@ def within_budget(bodies: DataFrame, group: str, order: str, body: str = "body",
     Groups are the results of one answer, a few dozen rows at most.
     """
     d = bodies.withColumn("_bytes", F.coalesce(F.octet_length(body), F.lit(0)))
-    schema = bodies.schema.add("taken", "boolean")
+    schema = T.StructType([*bodies.schema, T.StructField("taken", T.BooleanType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -75,7 +76,7 @@ def greedy_pool(fused: DataFrame, group: str, size: int = 20, expansion_share: f
     sequential; each group is one query's hits.
     """
     bucket, extra = max(size // 3, 3), int(size * expansion_share)
-    schema = fused.schema.add("pool_rank", "int")
+    schema = T.StructType([*fused.schema, T.StructField("pool_rank", T.IntegerType())])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rrf", "seq"], ascending=[False, True])
@@ -94,3 +95,12 @@ def greedy_pool(fused: DataFrame, group: str, size: int = 20, expansion_share: f
         return out
 
     return fused.groupBy(group).applyInPandas(scan, schema)
+
+
+def markdown(hits: DataFrame) -> DataFrame:
+    """(position, text): each hit as a Markdown section with place, signature and body."""
+    place = F.concat(F.col("path"), F.when(F.col("start_line") > 0, F.format_string(":%d-%d", "start_line", "end_line")).otherwise(""))
+    title = F.concat_ws(" ", F.lit("###"), F.concat(F.col("position").cast("string"), F.lit(".")), F.coalesce("symbol", "path"))
+    sig = F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit("Signature: `"), "signature", F.lit("`")))
+    body = F.concat(F.lit("```\n"), F.coalesce("snippet", F.lit("")), F.lit("\n```"))
+    return hits.select("position", F.concat_ws("\n", title, F.concat(F.lit("`"), "package", F.lit("` "), place), sig, body).alias("text"))

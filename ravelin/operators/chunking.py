@@ -229,3 +229,48 @@ def scanned_symbols(lines: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("line")
     h = hit.withColumn("_next", F.lead("line").over(w)).join(last, keys)
     return h.select(*keys, "symbol", F.element_at(kinds, F.col("_k")).alias("kind"), F.col("line").alias("start_line"), F.coalesce(F.col("_next") - 1, F.col("_last")).cast("int").alias("end_line"))
+
+
+#: Beginnings of comment lines (fixed values).
+COMMENT = r"^\s*(//|#(?!include|define)|/\*|\*|--|;|\"\"\")"
+#: Bodies above this many bytes are cut into windows.
+SYMBOL_BYTES = 8_192
+
+
+def symbol_bodies(symbols: DataFrame, lines: DataFrame, reach: int = 40) -> DataFrame:
+    """(id, first_line, last_line, body): the lines of every symbol with the run of comment
+    lines right before it (one blank line may stand between).
+
+    ``symbols``: id, path, start_line, end_line; ``lines``: path, line, text.  The comment
+    run is the stretch above the symbol without a line that is neither comment nor blank,
+    at most ``reach`` lines.
+    """
+    l = lines.select(F.col("path").alias("_p"), "line", "text")  # noqa: E741
+    j = symbols.join(l, (F.col("path") == F.col("_p")) & (F.col("line") >= F.col("start_line") - reach) & (F.col("line") <= F.col("end_line")))
+    before = F.col("line") < F.col("start_line")
+    comment, blank = F.col("text").rlike(COMMENT), F.trim("text") == ""
+    stop = F.max(F.when(before & ~comment & ~blank, F.col("line"))).over(Window.partitionBy("id"))
+    c = j.withColumn("_stop", F.coalesce(stop, F.lit(0)))
+    # Two blank lines in a row, or blanks not right above the symbol, end the run as well.
+    c = c.withColumn("_first", F.min(F.when(before & comment & (F.col("line") > F.col("_stop")), F.col("line"))).over(Window.partitionBy("id")))
+    gap = F.sum(F.when(before & blank & (F.col("line") > F.col("_stop")) & (F.col("line") > F.col("_first")), 1).otherwise(0)).over(Window.partitionBy("id"))
+    c = c.withColumn("_gap", gap)
+    start = F.when(F.col("_first").isNotNull() & (F.col("_gap") <= 1), F.col("_first")).otherwise(F.col("start_line"))
+    kept = c.withColumn("first_line", start).where(F.col("line") >= F.col("first_line"))
+    g = kept.groupBy("id", "first_line", F.col("end_line").alias("last_line")).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("_l"))
+    return g.select("id", "first_line", "last_line", F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("body"))
+
+
+def long_bodies(bodies: DataFrame, most: int = SYMBOL_BYTES) -> DataFrame:
+    """(id, part, content): bodies above ``most`` bytes in parts of whole lines."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["id"], pdf["body"]):
+                b = (t or "").encode("utf-8", "surrogatepass")
+                spans = [(0, len(b))] if len(b) <= most else _line_spans(b, 0, len(b), most)
+                rows += [(i, n, b[a:z].decode("utf-8", "surrogatepass")) for n, (a, z) in enumerate(spans)]
+            yield pd.DataFrame(rows, columns=["id", "part", "content"])
+
+    return bodies.select("id", "body").mapInPandas(run, "id string, part int, content string")

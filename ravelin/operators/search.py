@@ -47,3 +47,25 @@ def query(chunks: DataFrame, key: str, content: str, words: str, k: int = 10) ->
     q = chunks.sparkSession.createDataFrame([(0, words)], "query_id int, query_text string")
     s = bm25(chunks, key, content, q).drop("query_id")
     return chunks.join(s, key).orderBy(F.desc("score"), key).limit(k)
+
+
+def write_index(chunks: DataFrame, key: str, content: str, path: str, buckets: int = 64) -> None:
+    """Writes the index of a chunk table: postings with document lengths by hash of the
+    term, document frequencies, and the two totals BM25 needs."""
+    p = postings(chunks, key, content).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    p.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col(content)))).alias("avg_dl"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def query_index(spark, path: str, key: str, queries: DataFrame) -> DataFrame:
+    """``bm25`` over a written index: only the buckets of the queries' terms are read."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    q = queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query_text")))).alias("term"))
+    q = q.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(totals["buckets"])).cast("int"))
+    terms = spark.read.parquet(f"{path}/terms").select("bucket", "term", "df")
+    found = spark.read.parquet(f"{path}/postings").join(q.join(terms, ["bucket", "term"]), ["bucket", "term"])
+    idf = F.log(1 + (F.lit(totals["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(totals["avg_dl"])))
+    return found.groupBy("query_id", key).agg(F.round(F.sum(gain), 6).alias("score"))

@@ -111,3 +111,21 @@ def namespaces(roots: list[str]) -> dict[str, str]:
             n += 1
         out[r] = "/".join(p[-n:])
     return out
+
+
+def sync_plan(wanted: DataFrame, lock: DataFrame, installed: DataFrame) -> DataFrame:
+    """(name, action): install, update, keep or prune for every package.
+
+    ``wanted`` and ``lock``: name, version; ``installed``: name, version.  A wanted package
+    without version takes the locked one.
+    """
+    w = wanted.select("name", F.col("version").alias("_want"), F.lit(True).alias("_w"))
+    k = lock.select("name", F.col("version").alias("_lock"))
+    i = installed.groupBy("name").agg(F.collect_set("version").alias("_have"))
+    j = w.join(i, "name", "full_outer").join(k, "name", "left")
+    target = F.coalesce("_want", "_lock")
+    action = (
+        F.when(F.col("_w").isNull(), "prune").when(F.col("_have").isNull(), "install")
+        .when(target.isNotNull() & ~F.array_contains("_have", target), "update").otherwise("keep")
+    )
+    return j.select("name", action.alias("action"))
