@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import text
-from ravelin.operators import chunking, search, vector
+from ravelin.operators import chunking, extraction, search, vector
 from ravelin.operators.incremental import newest
+from ravelin.session import shared_dir
 from ravelin.sources.tables import load
 
 QUERY, SCOPE = "parse header lock", "loomwork"
@@ -46,6 +49,21 @@ def docs_bm25_log(spark, d):
     return search.top(s, 3, ["query_id"], [F.desc("score"), "slice_id"]).select("query_id", "slice_id", "score", "rank")
 
 
+def docs_bm25_index(spark, d):
+    """The same searches over a written index, of which only the terms' buckets are read."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(_docs(spark, d), "slice_id", "content", path, 16)
+    q = load(spark, d, "search_results").where("result_id % 20 = 0").select(F.col("result_id").alias("query_id"), "query_text").distinct()
+    s = search.query_index(spark, path, "slice_id", q)
+    return search.top(s, 3, ["query_id"], [F.desc("score"), "slice_id"]).select("query_id", "slice_id", "score", "rank")
+
+
+def return_types(spark, d):
+    """Declared return types of all symbols, without wrappers."""
+    n = load(spark, d, "nodes").select("id", "signature", "updated_at")
+    return extraction.return_types(newest(n, "id", ["updated_at"]))
+
+
 def significant_terms(spark, d):
     q = load(spark, d, "search_results").select("query_text").distinct()
     return q.select("query_text", F.array_join(text.significant(F.col("query_text")), " ").alias("terms"))
@@ -164,7 +182,7 @@ def name_matches(spark, d):
 
 
 _QUERIES = [
-    docs_bm25, docs_bm25_scoped, code_bm25_kind, docs_bm25_log, significant_terms, term_statistics, vec_normalize, vec_knn, vec_knn_label, vec_compatible, content_hashes,
+    docs_bm25, docs_bm25_scoped, code_bm25_kind, docs_bm25_log, docs_bm25_index, return_types, significant_terms, term_statistics, vec_normalize, vec_knn, vec_knn_label, vec_compatible, content_hashes,
     line_scanner_symbols, doc_lines, doc_whole, code_line_range, chunk_documents, kwic_windows, merged_bodies, normal_paths, citation_verify, variant_guard, name_matches,
 ]
 
@@ -195,16 +213,18 @@ def oracle():
     cos = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
     knn = f"""SELECT query_id, vec_id, cosine, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {cos} AS cosine, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {cos} DESC, b.vec_id) AS INTEGER) AS rank
 FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5"""
+    log = f"""WITH {_DOCS}, q AS (SELECT DISTINCT result_id AS query_id, query_text FROM search_results WHERE result_id % 20 = 0), qt AS (SELECT DISTINCT query_id, unnest({_TOK.format('query_text')}) AS term FROM q),
+tk AS (SELECT slice_id, {_TOK.format('content')} AS t FROM docs), ex AS (SELECT slice_id, len(t) AS dl, unnest(t) AS term FROM tk), pf AS (SELECT slice_id, dl, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+st AS (SELECT count(*) AS c, avg(len(t)) AS av FROM tk), df AS (SELECT term, count(*) AS df FROM pf GROUP BY term),
+sc AS (SELECT query_id, slice_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM qt JOIN pf USING (term) JOIN df USING (term), st GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slice_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 3"""
     body = "string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))"
     return {
         "docs_bm25": f"WITH {_DOCS}, {_bm25('docs', 'slice_id', q, 10)} SELECT slice_id, package, path, content[1:400] AS snippet, score FROM sc JOIN docs USING (slice_id)",
         "docs_bm25_scoped": f"WITH {_DOCS}, dd AS (SELECT * FROM docs WHERE lower(package) = '{SCOPE}'), {_bm25('dd', 'slice_id', q, 10)} SELECT * FROM sc",
         "code_bm25_kind": f"WITH {_CODE}, {_bm25('code', 'symbol_id', ['parse', 'ledger'], 25)} SELECT symbol_id, symbol, content[1:600] AS snippet, score FROM sc JOIN code USING (symbol_id) WHERE kind = 'function'",
-        "docs_bm25_log": f"""WITH {_DOCS}, q AS (SELECT DISTINCT result_id AS query_id, query_text FROM search_results WHERE result_id % 20 = 0), qt AS (SELECT DISTINCT query_id, unnest({_TOK.format('query_text')}) AS term FROM q),
-tk AS (SELECT slice_id, {_TOK.format('content')} AS t FROM docs), ex AS (SELECT slice_id, len(t) AS dl, unnest(t) AS term FROM tk), pf AS (SELECT slice_id, dl, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
-st AS (SELECT count(*) AS c, avg(len(t)) AS av FROM tk), df AS (SELECT term, count(*) AS df FROM pf GROUP BY term),
-sc AS (SELECT query_id, slice_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) AS score FROM qt JOIN pf USING (term) JOIN df USING (term), st GROUP BY ALL)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slice_id) AS INTEGER) AS rank FROM sc) WHERE rank <= 3""",
+        "docs_bm25_log": log,
+        "docs_bm25_index": log,
         "significant_terms": f"""WITH q AS (SELECT DISTINCT query_text FROM search_results), f AS (SELECT query_text, list_filter(list_transform(list_filter(regexp_extract_all(query_text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: strlen(t) >= 3), lambda t: lower(t)), lambda t: t NOT IN ({stop})) AS l FROM q)
 SELECT query_text, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i)[1:10], ' ') AS terms FROM f""",
         "term_statistics": f"WITH {_DOCS}, ex AS (SELECT slice_id, unnest({_TOK.format('content')}) AS term FROM docs), pf AS (SELECT slice_id, term, count(*) AS tf FROM ex GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS most FROM pf GROUP BY term",
