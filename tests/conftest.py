@@ -10,9 +10,13 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark.sql import SparkSession
+
     from ravelin.session import local_session
 
-    return local_session("4", 4, "tests")
+    # Short jobs: light compilation and few partitions save most of the time.
+    SparkSession.builder.config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1").config("spark.sql.codegen.cache.maxEntries", "2000")
+    return local_session("8", 2, "tests")
 
 
 @pytest.fixture(scope="session")
