@@ -34,6 +34,9 @@ LEAST_PER_LINE = 40.0
 LEAST_LITERAL_SHARE = 0.5
 LEAST_BLOB_RATIO = 0.88
 LEAST_BLOB = 200
+#: Literals are measured in pieces of so many characters: the grammar of any longer text is
+#: smaller, as pairs of 64 letters recur by chance.
+BLOB_PIECE = 8_000
 #: Characters of code a block needs to be told apart from boilerplate.
 LEAST_BLOCK = 80
 #: Share of a file's code in blocks that other packages have as well.
@@ -102,8 +105,10 @@ def _features(package, path, seen_at, received_at, content) -> list:
                 chars.append(len(b))
         literals = "".join(x[1:-1] for x in tokens if x[0] in "\"'`" and len(x) > 2)
         if len(literals) >= LEAST_BLOB and len(literals) >= LEAST_LITERAL_SHARE * total:
-            blobs.append(np.frombuffer(literals.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-            blob_of.append(len(rows))
+            chars_of = np.frombuffer(literals.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            for i in range(0, len(chars_of), BLOB_PIECE):
+                blobs.append(chars_of[i : i + BLOB_PIECE])
+                blob_of.append((len(rows), len(chars_of)))
         head = opening(t)
         folder = (p or "").split("/")[1:-1]
         foreign = any(x in _FOREIGN_DIRS for x in folder)
@@ -111,8 +116,8 @@ def _features(package, path, seen_at, received_at, content) -> list:
     left, rules = grammar.grammars(sequences)
     ratio = [float(n + 2 * r) / max(x[1], 1) for n, r, x in zip(left, rules, rows)]
     blob = [0.0] * len(rows)
-    for k, n, r, b in zip(blob_of, *grammar.grammars(blobs), blobs):
-        blob[k] = float(n + 2 * r) / len(b)
+    for (k, size), n, r in zip(blob_of, *grammar.grammars(blobs)):
+        blob[k] += float(n + 2 * r) / size
     for k, (x, t) in enumerate(zip(rows, content)):
         # A text of another format than its extension says may repeat itself as well.
         if x[0] and x[1] >= LEAST_TOKENS and (ratio[k] <= MOST_RATIO or x[2] >= LEAST_PER_LINE or blob[k] >= LEAST_BLOB_RATIO) and not begins(x[0], t):

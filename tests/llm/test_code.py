@@ -128,3 +128,23 @@ def test_authorship(spark):
     assert "generated" in got["p/gen.py"] and "generated" in got["p/said.py"] and "blob" in got["p/blob.py"] and "minified" in got["p/m.js"]
     assert all(not got[f"p/{w}.py"] for w in words) and not got["p/only.py"] and not got["p/log.py"] and not got["p/empty.py"] and "p/gone.py" not in got
     assert authorship.classify(spark, scans(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "lang, text",
+    [
+        ("python", 'DATA = "' + "QUJD" * 5_000 + '"\n'),
+        ("python", '"""' + "Licence. " * 3_000 + '"""\nx = 1\n'),
+        ("javascript", "/*" + " Licence.\n" * 3_000 + "*/\nvar a = 1;\n"),
+        ("go", "package a\n\nvar D = `" + "x9" * 10_000 + "`\n"),
+    ],
+)
+def test_long_literals_and_comments_begin_a_text(lang, text):
+    assert len(text) > 16_000 and syntax.begins(lang, text) and not syntax.begins(lang, "<html>" + text)
+
+
+def test_large_blob_is_found(spark):
+    rnd = random.Random(5)
+    text = 'DATA = "' + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)) + '"\n' + "".join(f"def f{i}(a):\n    return DATA[a + {i}]\n" for i in range(30))
+    scans = spark.createDataFrame([("p", "p/d.py", text)], "package string, path string, content string").select("*", F.current_timestamp().alias("seen_at"), F.current_timestamp().alias("received_at"))
+    assert authorship.classify(spark, scans).first()["blob"]
