@@ -15,7 +15,7 @@ as a whole.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 #: Extension to language (fixed values).
@@ -1040,9 +1040,6 @@ class Parser:
             self.statement(kind)
         except Fault as f:
             self.errors.append((f.at, f.why))
-            if len(self.errors) >= 50:
-                self.p = self.n
-                return
             self.depth = 0
             self.p = max(self.p, start)
             while self.p < self.n and self.s[self.p] not in ";{}\n":
@@ -2396,8 +2393,6 @@ class Parser:
             if c == "}":
                 self.errors.append((self.p, "unexpected '}'"))
                 self.p += 1
-                if len(self.errors) >= 50:
-                    return self.errors
                 continue
             self.guarded("top")
 
@@ -3057,8 +3052,6 @@ def _by_lines(lang: str, s: str) -> list[tuple[int, str]]:
         if err is not None:
             errors.append((here + err[0], err[1]))
             kind = ":" if py and unit[-1] == ":" else ""
-        if len(errors) >= 50:
-            return errors
         if py:
             if want:
                 if width <= indents[-1]:
@@ -3146,9 +3139,9 @@ def located(lang: str, text: str, errors: list[tuple[int, str]]) -> list[tuple[i
             n += len(c)
             ends.append(n)
             offs.append(m.start())
-    out = []
+    out, breaks = [], [m.start() for m in re.finditer("\n", text)]
     for at, why in errors:
         j = bisect_right(ends, at)
         o = offs[j] if j < len(offs) else len(text)
-        out.append((text.count("\n", 0, o) + 1 + (text[o : o + 1] == "\n"), why))
+        out.append((bisect_left(breaks, o) + 1 + (text[o : o + 1] == "\n"), why))
     return sorted(out)

@@ -148,3 +148,12 @@ def test_large_blob_is_found(spark):
     text = 'DATA = "' + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)) + '"\n' + "".join(f"def f{i}(a):\n    return DATA[a + {i}]\n" for i in range(30))
     scans = spark.createDataFrame([("p", "p/d.py", text)], "package string, path string, content string").select("*", F.current_timestamp().alias("seen_at"), F.current_timestamp().alias("received_at"))
     assert authorship.classify(spark, scans).first()["blob"]
+
+
+@pytest.mark.parametrize("lang", ["javascript", "python"])
+def test_all_errors_of_a_long_text_are_kept(lang):
+    good, bad = ("a = 1;\n", "a = + ;\n") if lang == "javascript" else ("a = 1\n", "a = +\n")
+    t = (good + bad) * 300
+    assert [n for n, _ in syntax.located(lang, t, syntax.faults(lang, t))] == list(range(2, 601, 2))
+    if lang == "javascript":
+        assert len(syntax.faults(lang, "}\n" * 300)) == 300
