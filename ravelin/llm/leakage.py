@@ -1,10 +1,11 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
 Texts are cut into overlapping passages.  Their TF-IDF vectors are projected to the
-leading singular directions, found by a distributed randomised SVD (subspace iteration).
-Passages near a passage of a test item are candidates, and only candidate pairs reach
-the exact check for a run of consecutive words and the comparison by longest common
-subsequence that tells paraphrases.
+leading singular directions, found by a distributed randomised SVD (subspace iteration)
+over all documents.  Passages near a passage of a test item are candidates, and only
+candidate pairs reach the comparison by longest common subsequence that tells paraphrases.
+Runs of consecutive words are looked up for all pairs, so no exact leak depends on the
+directions.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from ravelin.session import Cut
 RUN = 13
 #: Words are hashed to this many TF-IDF dimensions, projected to RANK of them.
 DIMENSIONS, RANK = 1 << 15, 64
-#: Documents the directions are fitted on, at most (chosen by hash); all are searched.
-FIT_DOCUMENTS = 20_000
 ITERATIONS = 2
 #: Cosine from which a passage is a candidate, and from which its LCS is taken.
 CANDIDATE, CLOSE = 0.50, 0.70
@@ -137,12 +136,14 @@ def frequencies(tok: DataFrame) -> np.ndarray:
     return out
 
 
-def directions(spark: SparkSession, sample: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors of the sample's TF-IDF passages (DIMENSIONS x RANK).
+def directions(spark: SparkSession, tok: DataFrame, idf: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Leading right singular vectors of all TF-IDF passages (DIMENSIONS x RANK).
 
-    A round multiplies by A'A where the rows are; the partial products are added up by
-    row blocks in the cluster, so the driver sees one matrix of fixed size.
+    A round multiplies by A'A where the rows are; the partial products, one for each of a
+    fixed number of tasks, are added up by row blocks in the cluster, so the driver sees one
+    matrix of fixed size.
     """
+    held_rows = tok.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism))
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((DIMENSIONS, RANK)))[0].astype(np.float32)
     rows = 512
     for _ in range(ITERATIONS):
@@ -181,7 +182,7 @@ def directions(spark: SparkSession, sample: DataFrame, idf: np.ndarray, seed: in
             total = sum(np.frombuffer(x, dtype=np.float32) for x in t.column("sums").to_pylist())
             return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-        parts = sample.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
+        parts = held_rows.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
         y = np.zeros((DIMENSIONS, RANK), dtype=np.float64)
         for r in parts:
             y[r["part"] * rows : (r["part"] + 1) * rows] = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, RANK)
@@ -270,9 +271,7 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
             doc, item = divmod(int(x), len(it.ids))
             if best.get((doc, item), (-1.0,))[0] < val[o]:
                 best[doc, item] = (float(val[o]), int(a[o]), int(lo + b[o]))
-    if not best:
-        return []
-    # Runs of consecutive words, counted for candidate pairs only.
+    # Runs of consecutive words, of all pairs.
     h, at = grams(ends, flat)
     runs: dict[tuple[int, int], int] = {}
     if len(h) and len(it.grams):
@@ -284,11 +283,18 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
             doc = int(doc_of[p])
             for x in range(int(lo[g]), int(hi[g])):
                 item, q = int(it.gram_item[x]), int(it.gram_at[x])
-                if (doc, item) not in best or not np.array_equal(flat[p : p + RUN], it.flat[q : q + RUN]):
+                if not np.array_equal(flat[p : p + RUN], it.flat[q : q + RUN]):
                     continue
                 n = chain[p, q] = chain.get((p - 1, q - 1), RUN - 1) + 1
                 if n > runs.get((doc, item), 0):
                     runs[doc, item] = n
+    for doc, item in runs.keys() - best.keys():
+        a, b = np.flatnonzero(owner == doc), np.flatnonzero(it.owner == item)
+        s = v[a] @ it.vectors[b].T
+        x, y = np.unravel_index(int(s.argmax()), s.shape)
+        best[doc, item] = (float(s[x, y]), int(a[x]), int(b[y]))
+    if not best:
+        return []
     out = []
     start, _ = blocks(ends)
     follows = np.zeros(len(start), dtype=bool)
@@ -322,15 +328,13 @@ def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, near: flo
     ``kind`` is ``exact`` for at least RUN consecutive words and ``paraphrase`` for a near
     passage whose longest common subsequence covers most of the item's.  ``longest_run``
     is 0 below RUN.  The items are the stated query set; every document is compared with
-    all of them.  Null and empty texts leak nothing; repeated documents keep their rows.
+    all of them; ``near`` is the cosine from which pairs without such a run are looked at.  Null and empty texts leak nothing; repeated documents keep their rows.
     """
     cut = Cut(spark, "leakage")
     tok = cut(tokens(documents))
     n = frequencies(tok)
     idf = np.log1p(n[-1] / (1.0 + n[:-1])).astype(np.float32)
-    share = min(1.0, FIT_DOCUMENTS / max(int(n[-1]), 1))
-    sample = cut(tok.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).repartition(8))
-    q = directions(spark, sample, idf)
+    q = directions(spark, tok, idf)
     table = (q * idf[:, None]).astype(np.float32)
     look = _Hashes()
     numbers: set[int] = set()

@@ -147,6 +147,21 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(spark, df.limit(5), it.limit(0)).count() == 0
 
 
+def test_exact_leaks_do_not_depend_on_the_directions(spark):
+    rnd = random.Random(3)
+    word = lambda: f"x{rnd.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(60))) for i in range(10)]
+    docs = [(n, " ".join([word() for _ in range(40)] + items[n % 10][1].split()[n % 40 : n % 40 + 13] + [word() for _ in range(40)])) for n in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    for near in (leakage.CANDIDATE, 1.1):
+        assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(spark, df, it, near=near, exact_only=True).collect()} == {(n, n % 10) for n in range(80)}
+    tok = leakage.tokens(df)
+    q = leakage.directions(spark, tok, np.ones(leakage.DIMENSIONS, dtype=np.float32))
+    seen = {x & (leakage.DIMENSIONS - 1) for r in tok.collect() for x in r["words"]}
+    assert set(np.flatnonzero(np.abs(q).sum(axis=1) > 0).tolist()) >= seen
+
+
 def test_lcs():
     assert leakage.lcs(list("abcde"), list("xaxcxe")) == 3 and leakage.lcs([], [1]) == 0
 
