@@ -1,9 +1,9 @@
 """Generated, minified and vendored files and data stored as code.
 
 The signals come from Re-Pair grammars.  A file whose grammar is far smaller than its
-token sequence is generated or a table of literals; the top rules of a file, one for each
-block between blank lines, are named by what they expand to, so a block that occurs in
-several packages is one shared rule and marks a copy.  Squeezed scripts show in the same
+token sequence is generated or a table of literals.  Copies are not told by shared rules
+but by exact hashes of the blocks between blank lines that several packages have; a copy
+with an edit in every block is missed.  Squeezed scripts show in the same
 token sequence by the number of tokens on a line.  What a file's opening comment states
 about its origin is read as well, as a tool may emit code that does not repeat itself.
 """
@@ -142,9 +142,9 @@ def classify(spark: SparkSession, scans: DataFrame) -> DataFrame:
     """(path, package, language, tokens, ratio, per_line, shared, blob_ratio, generated,
     blob, minified, vendored) for the newest text of every path.
 
-    ``shared`` is the share of a file's code in rules that occur in other packages too.
-    A rule's packages are counted by their least and greatest name, which combines
-    before the shuffle; a rule that very many files share is spread by salting.
+    ``shared`` is the share of a file's code in blocks that occur in other packages too.
+    A block's packages are counted by their least and greatest name, which combines
+    before the shuffle; a block that very many files share is spread by salting.
     """
     cut = Cut(spark, "authorship")
     f = cut(features(scans))
