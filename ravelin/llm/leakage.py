@@ -256,6 +256,7 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
         return []
     v = _unit(v)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    pairs: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for lo in range(0, len(it.vectors), BLOCK):
         s = v @ it.vectors[lo : lo + BLOCK].T
         a, b = np.nonzero(s >= near)
@@ -271,6 +272,9 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
             doc, item = divmod(int(x), len(it.ids))
             if best.get((doc, item), (-1.0,))[0] < val[o]:
                 best[doc, item] = (float(val[o]), int(a[o]), int(lo + b[o]))
+        if not exact_only:
+            for o in np.flatnonzero(val >= CLOSE):
+                pairs.setdefault(divmod(int(key[o]), len(it.ids)), []).append((float(val[o]), int(a[o]), int(lo + b[o])))
     # Runs of consecutive words, of all pairs.
     h, at = grams(ends, flat)
     runs: dict[tuple[int, int], int] = {}
@@ -303,6 +307,15 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
     last = np.ones(len(start), dtype=bool)
     last[:-1] = blk_owner[1:] != blk_owner[:-1]
     firsts = start[~last | ~follows]
+
+    def judged(cos: float, a: int, b: int, doc: int, item: int) -> tuple[bool, float, float]:
+        mine = it.flat[it.first[b] : min(it.first[b] + 2 * RUN, it.ends[item + 1])].tolist()
+        theirs = flat[firsts[a] : min(firsts[a] + 3 * RUN, ends[doc + 1])].tolist()
+        share = lcs(mine, theirs) / max(len(mine), 1)
+        answers = set(mine) & it.numbers
+        least = PARAPHRASE if answers else PARAPHRASE_BARE
+        return share >= least and len(mine) >= RUN and answers <= set(theirs), share, cos
+
     for (doc, item), (cos, a, b) in best.items():
         run = runs.get((doc, item), 0)
         if exact_only:
@@ -311,12 +324,9 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
             continue
         if not run and cos < CLOSE:
             continue
-        mine = it.flat[it.first[b] : min(it.first[b] + 2 * RUN, it.ends[item + 1])].tolist()
-        theirs = flat[firsts[a] : min(firsts[a] + 3 * RUN, ends[doc + 1])].tolist()
-        share = lcs(mine, theirs) / max(len(mine), 1)
-        answers = set(mine) & it.numbers
-        least = PARAPHRASE if answers else PARAPHRASE_BARE
-        if run or (share >= least and len(mine) >= RUN and answers <= set(theirs)):
+        # The pair that passes, of these the one with the greatest share, then cosine.
+        passes, share, cos = max(judged(*x, doc, item) for x in pairs.get((doc, item), [(cos, a, b)]))
+        if run or passes:
             out.append((int(ids[doc]), int(it.ids[item]), cos, run, share, "exact" if run else "paraphrase"))
     return out
 
@@ -326,7 +336,8 @@ def leaks(spark: SparkSession, documents: DataFrame, items: DataFrame, near: flo
     passages of test items.
 
     ``kind`` is ``exact`` for at least RUN consecutive words and ``paraphrase`` for a near
-    passage whose longest common subsequence covers most of the item's.  ``longest_run``
+    passage whose longest common subsequence covers most of the item's; all passages with a
+    cosine of CLOSE are compared, and ``cosine`` and ``lcs_share`` are of the best.  ``longest_run``
     is 0 below RUN.  The items are the stated query set; every document is compared with
     all of them; ``near`` is the cosine from which pairs without such a run are looked at.  Null and empty texts leak nothing; repeated documents keep their rows.
     """

@@ -162,6 +162,18 @@ def test_exact_leaks_do_not_depend_on_the_directions(spark):
     assert set(np.flatnonzero(np.abs(q).sum(axis=1) > 0).tolist()) >= seen
 
 
+def test_paraphrase_behind_a_nearer_passage():
+    rnd = random.Random(11)
+    text = rnd.sample(range(1, 20_000), 26)
+    # The same words in another order, then the item with every fifth word replaced.
+    near, true = text[::-1], [x if k % 5 else 20_000 + k for k, x in enumerate(text)]
+    table = np.random.default_rng(1).standard_normal((leakage.DIMENSIONS, leakage.RANK)).astype(np.float32)
+    flat = np.array(near + true, dtype=np.int32)
+    it = leakage.Items([7], [text], table, frozenset(text[1:2]))
+    rows = leakage._search(table, it, np.array([3]), np.array([0, len(flat)]), flat, leakage.CANDIDATE, False)
+    assert [(r[0], r[1], r[5]) for r in rows] == [(3, 7, "paraphrase")] and rows[0][4] >= leakage.PARAPHRASE and rows[0][2] < 0.99
+
+
 def test_lcs():
     assert leakage.lcs(list("abcde"), list("xaxcxe")) == 3 and leakage.lcs([], [1]) == 0
 
