@@ -7,8 +7,13 @@ aligned by longest common subsequence, and shared lines are what templates repea
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from ravelin.session import Cut
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
@@ -43,25 +48,47 @@ def _beside(pages: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(text, text before on the same host)`` for every page, in order of path.
 
     The pages are sorted by ranges of host and path, so a host of any size is spread over
-    tasks; a task holds one page before the current one.  The first page of a range and
-    pages without host have none before.
+    tasks; a task holds one page before the current one.  The first and the last text of
+    every range are written beside the results, and the first is then compared with the
+    last of the ranges before, so the ranges do not show.  Pages without text are passed
+    over; pages without host have none before.
     """
     p = pages.select("host", "path", F.col("item_id").cast("bigint").alias("item_id"), "text")
     p = p.repartitionByRange("host", "path", "item_id").sortWithinPartitions("host", "path", "item_id")
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    out = to_arrow_schema(_parse_datatype_string(schema))
+    edges = "_range int, _edge int, _host string, _id bigint, _text string"
+    both = to_arrow_schema(_parse_datatype_string(f"{schema}, {edges}"))
+
+    def batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * len(kind)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, kind)], schema=kind)
 
     def run(batches):
-        host, before = None, None
+        number, last = TaskContext.get().partitionId(), None
+        none, plain = (None,) * len(out), (None,) * 5
         for b in batches:
             rows = []
             for h, i, t in zip(b.column("host").to_pylist(), b.column("item_id").to_pylist(), b.column("text").to_pylist()):
-                rows.append((i, *fn(t, before if h is not None and h == host else None)))
-                host, before = h, t
-            cols = list(zip(*rows)) if rows else [()] * len(names)
-            types = [pa.int64()] + [pa.string() if "string" in x else pa.int32() for x in schema.split(",")[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(cols, types)], names=names)
-
-    return p.mapInArrow(run, schema)
+                if t is not None and last is None:
+                    rows.append((*none, number, 0, h, i, t))
+                else:
+                    rows.append((i, *fn(t, last[2] if last and h is not None and h == last[0] else None), *plain))
+                if t is not None:
+                    last = (h, i, t)
+            yield batch(rows, both)
+        if last:
+            yield batch([(*none, number, 1, *last)], both)
+
+    def join(batches):
+        for b in batches:
+            yield batch([(i, *fn(t, before)) for i, t, before in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_before")))], out)
+
+    held = Cut(pages.sparkSession, "pagediff")(p.mapInArrow(run, f"{schema}, {edges}"))
+    # Two rows a range; the last text of the nearest range before that has any.
+    w = Window.orderBy("_range", "_edge").rowsBetween(Window.unboundedPreceding, -1)
+    e = held.where(F.col("_edge").isNotNull()).withColumn("_last", F.last(F.when(F.col("_edge") == 1, F.struct("_host", "_text")), ignorenulls=True).over(w)).where("_edge = 0")
+    e = e.select("_id", "_text", F.when(F.col("_last._host") == F.col("_host"), F.col("_last._text")).alias("_before"))
+    return held.where(F.col("_edge").isNull()).select(*out.names).unionByName(e.mapInArrow(join, schema))
 
 
 def _count(t: str | None, before: str | None) -> tuple[int, int]:

@@ -221,3 +221,18 @@ def test_page_differencing(spark):
     assert {r["item_id"]: r["text"] for r in pagediff.without_shared(p.coalesce(1)).collect()}[2] == "two"
     assert pagediff.shared_lines(p.limit(0)).count() == 0
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_page_differencing_does_not_depend_on_ranges(spark):
+    rows = [(("g", "h", None)[n % 3], f"{n:03d}", n, None if n % 7 == 3 else f"top\n{n}\nend") for n in range(90)]
+    p = spark.createDataFrame(rows, "host string, path string, item_id long, text string").repartition(6)
+    first = {min(r[2] for r in rows if r[0] == h and r[3]) for h in "gh"}
+    want = {i: 0 if t is None or h is None or i in first else 2 for h, _, i, t in rows}
+    for n, adaptive in ((1, "true"), (7, "false"), (40, "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = [(r["item_id"], r["shared"]) for r in pagediff.shared_lines(p).collect()]
+        assert len(got) == 90 and dict(got) == want
+        assert sum(r["text"] == str(r["item_id"]) for r in pagediff.without_shared(p).collect()) == sum(v == 2 for v in want.values())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
