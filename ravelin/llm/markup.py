@@ -33,24 +33,32 @@ _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|([A-Za-z][A-Za-z0-9]{1
 _ENTITY_CUT = re.compile(r"&(?:#\w{0,6}|(?<!\w&)([A-Za-z]{1,8}))\Z")
 _ENTITY_TAIL = re.compile(r"\A(?:#?3?9|nbsp|bsp|mdash|dash|ash|amp|quot|uot);")
 _HEAD = re.compile(r"^ {0,3}#{1,6}(?:[ \t]+\S|[ \t]*\Z)", re.M)
-_SETEXT = re.compile(r"(?:^[^\n]*\S[^\n]*\n|\A)(?:={3,}|-{3,})[ \t]*(?:\n|\Z)|^[^\n=]*\S[^\n=]*\n=+\Z", re.M)
-_STRONG = re.compile(r"\*\*(?=\S)[^*\n]+?\*\*|(?<!\w)__(?=\S)[^_\n]+__(?!\w)|~~(?=\S)[^~\n]+~~")
-_EM = re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w\\])_(?=[^\W_])[^_\n.;$\\]{1,60}(?<=[^\s_])_(?!\w)")
-_MARK_CUT = re.compile(r"(?:\*\*|~~)(?=\S)[^*~\n]*[*~]?\Z|(?<!\w)__(?=\w)[^_\n]*_?\Z|(?<![\w*])\*(?=[^\s*])[^*\n]*\Z|\A[^\s*~_][^*~\n]{0,60}?(?:\*\*|~~)(?!\S)|\A[^\W_][^_\n]{0,60}__(?!\w)")
-_LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|(?<![\w\]\[])!?\[[^\]\[\n]+\]\[[^\]\n]*\]|^ {0,3}\[[^\]\n]+\]:[ \t]+\S", re.M)
-_LINK_CUT = re.compile(r"\]\([^)\n]*\Z|(?<!\w)!\[[^\]\n]*\]?\Z|(?<![\w\[\]])\[[A-Za-z][^\]\[\n]*\]?\Z|(?<![\w\]\[])\[[A-Za-z][^\]\[\n]*\]\[[^\]\n]*\Z|\A[^\[\n]*\]\([^)\n]+\)|\A[^\[\n]{0,40}\]\[\d+\]|\A[\w./-]*\.(?:md|png|html?|jpg|svg)\)|\A\d*\](?= )")
+# Patterns begin with a letter of their own where they can, so the search leaps from one to the
+# next; what is cut off by either end of a text is looked for in its first or last line only.
+_UNDER = re.compile(r"\n(?:={3,}|-{3,})[ \t]*(?=\n|\Z)")
+_STRONG = [re.compile(p) for p in (r"\*\*(?=\S)[^*\n]+?\*\*", r"__(?<!\w__)(?=\S)[^_\n]+__(?!\w)", r"~~(?=\S)[^~\n]+~~")]
+_EM_STAR = re.compile(r"\*(?<![\w*\\]\*)(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])")
+_EM_LINE = re.compile(r"_(?<![\w\\]_)(?=[^\W_])[^_\n.;$\\]{1,60}(?<=[^\s_])_(?!\w)")
+_MARK_TAIL = re.compile(r"(?:\*\*|~~)(?=\S)[^*~\n]*[*~]?\Z|(?<!\w)__(?=\w)[^_\n]*_?\Z|(?<![\w*])\*(?=[^\s*])[^*\n]*\Z")
+_MARK_HEAD = re.compile(r"[^\s*~_][^*~\n]{0,60}?(?:\*\*|~~)(?!\S)|[^\W_][^_\n]{0,60}__(?!\w)")
+_LINK = [re.compile(p, re.M) for p in (r"\[[^\]\n]*\]\([^)\n]*\)", r"\[(?<![\w\]\[]\[)[^\]\[\n]+\]\[[^\]\n]*\]", r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S")]
+_LINK_TAIL = re.compile(r"\]\([^)\n]*\Z|(?<!\w)!\[[^\]\n]*\]?\Z|(?<![\w\[\]])\[[A-Za-z][^\]\[\n]*\]?\Z|(?<![\w\]\[])\[[A-Za-z][^\]\[\n]*\]\[[^\]\n]*\Z")
+_LINK_HEAD = re.compile(r"[^\[\n]*\]\([^)\n]+\)|[^\[\n]{0,40}\]\[\d+\]|[\w./-]*\.(?:md|png|html?|jpg|svg)\)|\d*\](?= )")
 _QUOTE = re.compile(r"^ {0,3}>[ \t]?(?=\S)", re.M)
-_TABLE = re.compile(r"^[ \t]*\|[^\n]*\|[ \t]*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\||(?<=\S)[ \t]*\|[ \t]*\n|^\|[^|\n]*\|[^|\n]*\Z", re.M)
+_TABLE = re.compile(r"^[ \t]*\|[^\n]*\|[ \t]*$|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\||^\|[^|\n]*\|[^|\n]*\Z", re.M)
+_BAR = re.compile(r"\|[ \t]*\n")
 _WIKI_LINK = re.compile(r"\[\[[^\[\]\n]+\]\]|\[https?://[^\s\]]+ [^\]\n]+\]")
 _WIKI_EM = re.compile(r"(?<!')'{2,5}(?=[^'\s])[^'\n]+'{2,5}(?!')")
 _WIKI_TEMPLATE = re.compile(r"\{\{[^{}\n]*\}\}")
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*[^=\s][^\n]*?[ \t]*\1[ \t]*$|^={2,6} [^=\n]*=?\Z", re.M)
 _WIKI_TABLE = re.compile(r"^\{\||^\|\}|^\|-[ \t]*$|^! \S", re.M)
-_WIKI_CUT = re.compile(r"\[\[[^\]\n]*\]?\Z|\{\{[^}\n]*\}?\Z|(?<!')'{2,5}(?=[^'\s])[^'\n]*'?\Z|\{\|?\Z(?<=\n\{)|\A[^\[\n]{0,60}\]\]|\A[^{\n]{0,60}\}\}(?!\})|\A[^'\n]{1,60}(?<=\S)'{2,5}(?![\w'])|\A(?![A-Z])[^=\n|]+ ={2,4}[ \t]*\n")
-_TEX = re.compile(r"(?<![\w:\\])\\([A-Za-z]+)(\*?[\[{])?|\\([A-Za-z]+)\*?\{")
+_WIKI_TAIL = re.compile(r"\[\[[^\]\n]*\]?\Z|\{\{[^}\n]*\}?\Z|(?<!')'{2,5}(?=[^'\s])[^'\n]*'?\Z|\{\|?\Z(?<=\n\{)")
+_WIKI_START = re.compile(r"[^\[\n]{0,60}\]\]|[^{\n]{0,60}\}\}(?!\})|[^'\n]{1,60}(?<=\S)'{2,5}(?![\w'])|(?![A-Z])[^=\n|]+ ={2,4}[ \t]*\n")
+_TEX = re.compile(r"\\(?<![\w:\\]\\)([A-Za-z]+)(\*?[\[{])?|\\([A-Za-z]+)\*?\{")
 _TEX_MATH = re.compile(r"(?<!\\)\\[\[\]()]|\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[\\^_{}][^$\n]*(?<=\S)\$(?!\d)")
-_TEX_CUT = re.compile(r"(?<![\w$\\])\$(?=[^\s$])[^$\s]*[\\^_{}][^$\n]*\Z|\A[^$\s]{0,30}[{}^_][^$\s]{0,30}\$(?!\w)|\A[a-z]{1,14}\*?\{[^{}\n]*\}|\A\{[^{}\n]*\}|\A\w*\d\}(?=[$\s^])|(?<![\w:\\])\\\Z")
-
+_TEX_FORMULA = [re.compile(p) for p in (r"\\(?<!\\\\)[\[\]()]", r"\$\$|\$(?<![\w$\\]\$)(?=[^\s$])[^$\n]*[\\^_{}][^$\n]*(?<=\S)\$(?!\d)")]
+_TEX_TAIL = re.compile(r"(?<![\w$\\])\$(?=[^\s$])[^$\s]*[\\^_{}][^$\n]*\Z|(?<![\w:\\])\\\Z")
+_TEX_HEAD = re.compile(r"[^$\s]{0,30}[{}^_][^$\s]{0,30}\$(?!\w)|[a-z]{1,14}\*?\{[^{}\n]*\}|\{[^{}\n]*\}|\w*\d\}(?=[$\s^])")
 _FENCE = re.compile(r"^ {0,3}(```+|~~~+)[^\n`]*$", re.M)
 _PRE = re.compile(r"<pre\b[^>]*>.*?(?:</pre>|\Z)", re.S | re.I)
 _VERBATIM = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}.*?(?:\\end\{\1\}|\Z)", re.S)
@@ -135,24 +143,46 @@ def _is_html(t: str) -> bool:
     return bool(_ENTITY_TAIL.match(t))
 
 
+def _underlined(t: str) -> bool:
+    """A heading with a line of ``=`` or ``-`` below it, whole or cut off."""
+    if ("===" in t or "---" in t) and (t[0] in "=-" and _UNDER.match("\n" + t) or any(t[t.rfind("\n", 0, m.start()) + 1 : m.start()].strip() for m in _UNDER.finditer(t))):
+        return True
+    if not t.endswith("="):
+        return False
+    above, _, last = t.rpartition("\n")
+    above = above[above.rfind("\n") + 1 :]
+    return "=" not in above and bool(above.strip()) and not last.strip("=")
+
+
+def _follows(t: str, at: int) -> bool:
+    """True if something stands before ``at`` in its line."""
+    while at and t[at - 1] in " \t":
+        at -= 1
+    return at > 0 and not t[at - 1].isspace()
+
+
 def _is_markdown(t: str) -> bool:
     if "#" in t and _HEAD.search(t):
         return True
-    if ("===" in t or "---" in t or t.endswith("=")) and _SETEXT.search(t):
+    if _underlined(t):
         return True
+    last = t.rfind("\n") + 1
     if "*" in t or "_" in t or "~~" in t:
-        if _STRONG.search(t) or _EM.search(t) or _MARK_CUT.search(t):
+        if "*" in t and (_STRONG[0].search(t) or _EM_STAR.search(t)) or "_" in t and (_STRONG[1].search(t) or _EM_LINE.search(t)) or "~~" in t and _STRONG[2].search(t):
             return True
-    if "[" in t or "]" in t or ")" in t[:60]:
-        if _LINK.search(t) or _LINK_CUT.search(t):
+        if _MARK_HEAD.match(t) or _MARK_TAIL.search(t, last):
             return True
+    if "[" in t and ("](" in t and _LINK[0].search(t) or "][" in t and _LINK[1].search(t) or "]:" in t and _LINK[2].search(t)):
+        return True
+    if ("[" in t or "]" in t or ")" in t[:60]) and (_LINK_HEAD.match(t) or _LINK_TAIL.search(t, last)):
+        return True
     if "`" in t:
         return True
     if ">" in t:
         for m in _QUOTE.finditer(t):
             if m.start() or t[m.end() : m.end() + 1].isupper():
                 return True
-    return "|" in t and bool(_TABLE.search(t))
+    return "|" in t and bool(_TABLE.search(t) or any(_follows(t, m.start()) for m in _BAR.finditer(t)))
 
 
 def _is_wiki(t: str) -> bool:
@@ -166,7 +196,7 @@ def _is_wiki(t: str) -> bool:
         return True
     if ("|" in t or "! " in t) and _WIKI_TABLE.search(t):
         return True
-    return bool(_WIKI_CUT.search(t))
+    return bool(_WIKI_START.match(t) or _WIKI_TAIL.search(t, t.rfind("\n") + 1))
 
 
 def _is_latex(t: str) -> bool:
@@ -174,10 +204,9 @@ def _is_latex(t: str) -> bool:
         for m in _TEX.finditer(t):
             if m.group(2) or m.group(3) or m.group(1) in _TEX_BARE:
                 return True
-    if ("$" in t or "\\" in t) and (_TEX_MATH.search(t)):
+    if "\\" in t and _TEX_FORMULA[0].search(t) or "$" in t and _TEX_FORMULA[1].search(t):
         return True
-    m = _TEX_CUT.search(t)
-    if m:
+    if _TEX_HEAD.match(t) or _TEX_TAIL.search(t, t.rfind("\n") + 1):
         return True
     # A command's name cut off at the end.
     m = re.search(r"(?<![\w:\\])\\([A-Za-z]{1,14})\Z", t[-20:])
@@ -203,42 +232,46 @@ def kinds(text: str | None) -> list[str]:
 
 # ---- conversion to clean text
 
+#: What a text must hold for a rule, the rule, and what it puts in the place.
 _RULES_BLOCK = [
-    (re.compile(r"\\(?:part|chapter)\*?\{([^{}]*)\}"), r"\n# \1\n"),
-    (re.compile(r"\\section\*?\{([^{}]*)\}"), r"\n# \1\n"),
-    (re.compile(r"\\subsection\*?\{([^{}]*)\}"), r"\n## \1\n"),
-    (re.compile(r"\\(?:subsubsection|paragraph)\*?\{([^{}]*)\}"), r"\n### \1\n"),
-    (re.compile(r"^[ \t]*\\item(?:\[[^\]]*\])?[ \t]*", re.M), "- "),
-    (re.compile(r"^[ \t]*\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?[ \t]*$", re.M), ""),
-    (re.compile(r"\\(?:begin|end)\{[^{}]*\}"), ""),
-    (re.compile(r"\\label\{[^{}]*\}"), ""),
-    (re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", re.M), lambda m: "#" * (len(m.group(1)) - 1) + " " + m.group(2)),
-    (re.compile(r"^([^\n]*\S[^\n]*)\n={3,}[ \t]*$", re.M), r"# \1"),
-    (re.compile(r"^([^\n|>-][^\n|]*)\n-{3,}[ \t]*$", re.M), r"## \1"),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\n?", re.M), ""),
-    (re.compile(r"^\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?", re.M), ""),
-    (re.compile(r"^[!|][ \t]+([^|\n]*)$", re.M), r"\1"),
-    (re.compile(r"^[ \t]*\|(.*)\|[ \t]*$", re.M), lambda m: " | ".join(c.strip() for c in m.group(1).split("|"))),
-    (re.compile(r"^ {0,3}>[ \t]?", re.M), ""),
-    (re.compile(r"^[ \t]*[*+-][ \t]+", re.M), "- "),
+    ("\\", re.compile(r"\\(?:part|chapter)\*?\{([^{}]*)\}"), r"\n# \1\n"),
+    ("\\section", re.compile(r"\\section\*?\{([^{}]*)\}"), r"\n# \1\n"),
+    ("\\subsection", re.compile(r"\\subsection\*?\{([^{}]*)\}"), r"\n## \1\n"),
+    ("\\", re.compile(r"\\(?:subsubsection|paragraph)\*?\{([^{}]*)\}"), r"\n### \1\n"),
+    ("\\item", re.compile(r"^[ \t]*\\item(?:\[[^\]]*\])?[ \t]*", re.M), "- "),
+    ("\\", re.compile(r"^[ \t]*\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?[ \t]*$", re.M), ""),
+    ("\\", re.compile(r"\\(?:begin|end)\{[^{}]*\}"), ""),
+    ("\\label", re.compile(r"\\label\{[^{}]*\}"), ""),
+    ("==", re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", re.M), lambda m: "#" * (len(m.group(1)) - 1) + " " + m.group(2)),
+    ("===", re.compile(r"^(?=[^\n]*\S)([^\n]+)\n={3,}[ \t]*$", re.M), r"# \1"),
+    ("---", re.compile(r"^(?=[^\n]*\S)([^\n|>-][^\n|]*)\n-{3,}[ \t]*$", re.M), r"## \1"),
+    ("---", re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*\n?", re.M), ""),
+    ("|", re.compile(r"^\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?", re.M), ""),
+    ("", re.compile(r"^[!|][ \t]+([^|\n]*)$", re.M), r"\1"),
+    ("|", re.compile(r"^[ \t]*\|(.*)\|[ \t]*$", re.M), lambda m: " | ".join(c.strip() for c in m.group(1).split("|"))),
+    (">", re.compile(r"^ {0,3}>[ \t]?", re.M), ""),
+    ("", re.compile(r"^[ \t]*[*+-][ \t]+", re.M), "- "),
 ]
 _RULES_INLINE = [
-    (re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
-    (re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
-    (re.compile(r"(?<![\w\]\[])\[([^\]\[\n]+)\]\[[^\]\n]*\]"), r"\1"),
-    (re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*\n?", re.M), ""),
-    (re.compile(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]"), ""),
-    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
-    (re.compile(r"\{\{[^{}|\n]*\|([^{}\n]*)\}\}"), r"\1"),
-    (re.compile(r"\{\{([^{}|\n]*)\}\}"), r"\1"),
-    (re.compile(r"\[(?:https?://[^\s\]]+) ([^\]\n]+)\]"), r"\1"),
-    (re.compile(r"(?<!')'{2,5}(?=[^'\s])([^'\n]+)'{2,5}(?!')"), r"\1"),
-    (re.compile(r"\*\*(?=\S)([^*\n]+?)\*\*"), r"\1"),
-    (re.compile(r"(?<!\w)__(?=\S)([^_\n]+)__(?!\w)"), r"\1"),
-    (re.compile(r"~~(?=\S)([^~\n]+)~~"), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w:\\])\\(?:textbf|emph|texttt|textit|underline|footnote|ref|cite|url|caption|mbox|text)\*?(?:\[[^\]]*\])?\{([^{}]*)\}"), r"\1"),
+    ("](", re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
+    ("](", re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
+    ("][", re.compile(r"(?<![\w\]\[])\[([^\]\[\n]+)\]\[[^\]\n]*\]"), r"\1"),
+    ("]:", re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*\n?", re.M), ""),
+    ("[[", re.compile(r"\[\[(?:Category|File|Image):[^\[\]\n]*\]\]"), ""),
+    ("[[", re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]"), r"\1"),
+    ("{{", re.compile(r"\{\{[^{}|\n]*\|([^{}\n]*)\}\}"), r"\1"),
+    ("{{", re.compile(r"\{\{([^{}|\n]*)\}\}"), r"\1"),
+    ("[http", re.compile(r"\[(?:https?://[^\s\]]+) ([^\]\n]+)\]"), r"\1"),
+    ("''", re.compile(r"(?<!')'{2,5}(?=[^'\s])([^'\n]+)'{2,5}(?!')"), r"\1"),
+    ("**", re.compile(r"\*\*(?=\S)([^*\n]+?)\*\*"), r"\1"),
+    ("__", re.compile(r"(?<!\w)__(?=\S)([^_\n]+)__(?!\w)"), r"\1"),
+    ("~~", re.compile(r"~~(?=\S)([^~\n]+)~~"), r"\1"),
+    ("*", re.compile(r"\*(?<![\w*\\]\*)(?=[^\s*])([^*\n]*?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    ("\\", re.compile(r"\\(?<![\w:\\]\\)(?:textbf|emph|texttt|textit|underline|footnote|ref|cite|url|caption|mbox|text)\*?(?:\[[^\]]*\])?\{([^{}]*)\}"), r"\1"),
 ]
+_DISPLAY = re.compile(r"\\(?<!\\\\)\[(.+?)\\\]", re.S)
+_KEPT = re.compile("\x00(\\d+)\x00")
+_ENDS, _GAPS = re.compile(r"[ \t]+\n"), re.compile(r"\n{3,}")
 _CELL = re.compile(r"</t[dh]>\s*<t[dh]\b[^>]*>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 
@@ -285,24 +318,31 @@ def clean(text: str | None) -> str | None:
     for a, b in reversed(_fences(t)[0] if "```" in t or "~~~" in t else []):
         body = _FENCE.sub("", t[a:b]).strip("\n")
         t = t[:a] + keep(f"```\n{body}\n```") + t[b:]
-    t = _PRE.sub(lambda m: "\n" + keep("```\n" + _ENTITY.sub(_entity, re.sub(r"</?[A-Za-z][^>]*>", "", m.group())).strip("\n") + "\n```") + "\n", t)
-    t = _VERBATIM.sub(lambda m: keep("```\n" + re.sub(r"\\(?:begin|end)\{\w+\}", "", m.group()).strip("\n") + "\n```"), t)
-    t = _INLINE.sub(lambda m: keep(m.group(2)), t)
-    t = re.sub(r"(?<!\\)\\\[(.+?)\\\]", lambda m: keep(f"$${m.group(1).strip()}$$"), t, flags=re.S)
-    t = _TEX_MATH.sub(lambda m: keep(m.group()) if m.group()[0] == "$" and len(m.group()) > 2 else m.group(), t)
+    if "<" in t:
+        t = _PRE.sub(lambda m: "\n" + keep("```\n" + _ENTITY.sub(_entity, re.sub(r"</?[A-Za-z][^>]*>", "", m.group())).strip("\n") + "\n```") + "\n", t)
+    if "\\begin{" in t:
+        t = _VERBATIM.sub(lambda m: keep("```\n" + re.sub(r"\\(?:begin|end)\{\w+\}", "", m.group()).strip("\n") + "\n```"), t)
+    if "`" in t:
+        t = _INLINE.sub(lambda m: keep(m.group(2)), t)
+    if "\\[" in t:
+        t = _DISPLAY.sub(lambda m: keep(f"$${m.group(1).strip()}$$"), t)
+    if "$" in t:
+        t = _TEX_MATH.sub(lambda m: keep(m.group()) if m.group()[0] == "$" and len(m.group()) > 2 else m.group(), t)
     if "<" in t:
         t = _COMMENT.sub("", t)
         t = _CELL.sub(" | ", t)
         t = _TAG.sub(_untag, t)
-    for pattern, new in _RULES_BLOCK:
-        t = pattern.sub(new, t)
-    for pattern, new in _RULES_INLINE:
-        t = pattern.sub(new, t)
-    t = _ENTITY.sub(lambda m: _entity(m) if m.group(1) is None or m.group(1) in _ENTITIES else m.group(), t)
+    for needs, pattern, new in _RULES_BLOCK:
+        if needs in t:
+            t = pattern.sub(new, t)
+    for needs, pattern, new in _RULES_INLINE:
+        if needs in t:
+            t = pattern.sub(new, t)
+    if "&" in t:
+        t = _ENTITY.sub(lambda m: _entity(m) if m.group(1) is None or m.group(1) in _ENTITIES else m.group(), t)
     while "\x00" in t:
-        new = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else "", t)
+        new = _KEPT.sub(lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else "", t)
         if new == t:
             break
         t = new
-    t = re.sub(r"[ \t]+$", "", t, flags=re.M)
-    return re.sub(r"\n{3,}", "\n\n", t).strip("\n")
+    return _GAPS.sub("\n\n", _ENDS.sub("\n", t + "\n")).strip("\n")
