@@ -15,6 +15,7 @@ as a whole.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
@@ -1046,9 +1047,6 @@ class Parser:
                 self.p += 1
             if self.p < self.n and self.s[self.p] != "}" or self.p == start:
                 self.p += 1
-        except RecursionError:
-            self.errors.append((start, "nested too deeply"))
-            self.p = self.n
 
     def declaration(self, kind: str) -> bool:
         """A definition of the languages that write the type first; False if it is none."""
@@ -2428,7 +2426,7 @@ def _judge(lang: str, kind: str, unit: str) -> str:
             p.statement(kind)
             if p.nl:
                 p.skip_nl()
-        except (Fault, RecursionError):
+        except Fault:
             return _WHOLE
         return _SIMPLE if p.p == p.n and not p.errors else _WHOLE
     seen: list[str] = []
@@ -2442,7 +2440,7 @@ def _judge(lang: str, kind: str, unit: str) -> str:
     p = Probe(lang, unit + "}" + (";" if lang in ("c", "cpp") and unit[0] in _kw("class", "struct") else ""))
     try:
         p.statement(kind)
-    except (Fault, RecursionError):
+    except Fault:
         return _WHOLE
     if p.p != p.n or p.errors or len(seen) != 1:
         return _WHOLE
@@ -2994,8 +2992,6 @@ def _line(lang: str, unit: str) -> tuple:
             r = (p.python_line() if lang == "python" else p.ruby_line(), None)
         except Fault as f:
             r = (None, (f.at, f.why))
-        except RecursionError:
-            r = (None, (0, "nested too deeply"))
         _LINES[key] = r
     return r
 
@@ -3097,9 +3093,18 @@ def _by_lines(lang: str, s: str) -> list[tuple[int, str]]:
     return errors
 
 
+def _make_room(s: str) -> None:
+    """Lets the parser descend as deep as a text can nest: frames of Python functions lie on
+    the heap, so only the interpreter's own limit stands against it."""
+    need = 1_000 + 40 * len(s)
+    if need > sys.getrecursionlimit():
+        sys.setrecursionlimit(need)
+
+
 def faults(lang: str, text: str, memo: bool = True) -> list[tuple[int, str]]:
     """All errors as (position in the shape, reason); empty if the text is accepted."""
     s = shape(lang, text)
+    _make_room(s)
     if lang in ("python", "ruby"):
         return _by_lines(lang, s)
     if memo and _units_hold(lang, s):
@@ -3121,6 +3126,7 @@ def begins(lang: str, text: str, within: int = 40, look: int = 400) -> bool:
         if n >= look:
             break
     s = "".join(got)[:look].rstrip("\n")
+    _make_room(s)
     if lang in ("python", "ruby"):
         found = _by_lines(lang, s)
     else:

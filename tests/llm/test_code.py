@@ -157,3 +157,12 @@ def test_all_errors_of_a_long_text_are_kept(lang):
     assert [n for n, _ in syntax.located(lang, t, syntax.faults(lang, t))] == list(range(2, 601, 2))
     if lang == "javascript":
         assert len(syntax.faults(lang, "}\n" * 300)) == 300
+
+
+def test_any_depth_of_nesting_is_parsed():
+    from ravelin.llm import syntax
+
+    n = 5_000
+    assert not syntax.faults("javascript", "x = " + "(" * n + "1" + ")" * n + ";\n")
+    assert not syntax.faults("python", "x = " + "[" * n + "1" + "]" * n + "\n")
+    assert syntax.faults("javascript", "x = " + "(" * n + "1" + ")" * (n - 1) + ";\n")
