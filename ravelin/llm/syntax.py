@@ -3112,28 +3112,6 @@ def faults(lang: str, text: str, memo: bool = True) -> list[tuple[int, str]]:
     return Parser(lang, s).file()
 
 
-def begins(lang: str, text: str, within: int = 40, look: int = 400) -> bool:
-    """True if the text begins in the language: no error in its first ``within`` tokens.
-
-    Tokens are taken from the whole text until there are ``look``, so no literal or comment is cut.
-    """
-    shape(lang, "")
-    k, n, got = _SHAPES[lang], 0, []
-    for m in LEXER[lang].finditer(text):
-        c = k[m.group()]
-        got.append(c)
-        n += len(c)
-        if n >= look:
-            break
-    s = "".join(got)[:look].rstrip("\n")
-    _make_room(s)
-    if lang in ("python", "ruby"):
-        found = _by_lines(lang, s)
-    else:
-        found = Parser(lang, s).file()
-    return not any(at < min(within, len(s)) for at, _ in found)
-
-
 def located(lang: str, text: str, errors: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The errors with line numbers, from 1, in the order of the text."""
     shape(lang, "")

@@ -104,9 +104,9 @@ def slow_repair(seq, least=3):
 def test_grammars_are_about_as_small_as_step_by_step():
     rnd = np.random.default_rng(4)
     cases = [np.tile(rnd.integers(0, 9, 12), 30), rnd.integers(0, 200, 600), np.zeros(50, dtype=int), np.array([], dtype=int), np.array([1])]
-    left, rules = grammar.grammars(cases)
+    left, rules, _ = grammar.grammars(cases)
     alone = [grammar.grammars([c]) for c in cases]
-    for c, n, r, (an, ar) in zip(cases, left, rules, alone):
+    for c, n, r, (an, ar, _) in zip(cases, left, rules, alone):
         sn, sr = slow_repair(c)
         assert (n, r) == (an[0], ar[0])
         assert n + 2 * r <= 1.6 * (sn + 2 * sr) + 8
@@ -130,17 +130,40 @@ def test_authorship(spark):
     assert authorship.classify(spark, scans(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(
-    "lang, text",
-    [
-        ("python", 'DATA = "' + "QUJD" * 5_000 + '"\n'),
-        ("python", '"""' + "Licence. " * 3_000 + '"""\nx = 1\n'),
-        ("javascript", "/*" + " Licence.\n" * 3_000 + "*/\nvar a = 1;\n"),
-        ("go", "package a\n\nvar D = `" + "x9" * 10_000 + "`\n"),
-    ],
-)
-def test_long_literals_and_comments_begin_a_text(lang, text):
-    assert len(text) > 16_000 and syntax.begins(lang, text) and not syntax.begins(lang, "<html>" + text)
+def test_grammar_of_a_file_does_not_depend_on_its_batch(monkeypatch):
+    rnd = np.random.default_rng(6)
+    cases = [np.tile(rnd.integers(0, 30, 40), 6) for _ in range(30)]
+    whole = grammar.grammars(cases)
+    monkeypatch.setattr(grammar, "GROUP", 500)
+    parts = grammar.grammars(cases)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_phrases_are_shared_by_equal_stretches():
+    rnd = np.random.default_rng(8)
+    hashes = list(range(1, 400))
+    common = rnd.integers(3, 390, 600)
+    a, b, c = np.concatenate([rnd.integers(3, 390, 50), common]), np.concatenate([common, rnd.integers(3, 390, 70)]), rnd.integers(3, 390, 600)
+    edited = common.copy()
+    edited[::150] = 395
+    (na, nb, nc, ne), (sa, _, _, se) = grammar.phrases([a, b, c, edited], hashes)
+    assert sum(sa) == 650 and sum(se) == 600
+    share = lambda x, y, z: sum(n for r, n in zip(x, z) if r in set(y)) / sum(z)
+    assert share(na, nb, sa) > 0.75 and share(na, nc, sa) == 0 and share(ne, na, se) > 0.6
+    # Line breaks do not count, and no phrase spans two files.
+    broken = np.insert(common, range(0, 600, 9), grammar.BREAK)
+    assert grammar.phrases([broken], hashes)[0] == grammar.phrases([common], hashes)[0]
+
+
+def test_copies_with_a_few_edits_are_vendored(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    funcs = [f"def {word()}({word()}, {word()}):\n    {word()} = {word()}({word()}) + {word()}[{word()}]\n    if {word()} > {word()}:\n        return {word()} * {word()}\n    return {word()}.{word()}({word()})\n" for _ in range(20)]
+    mine = ["\n".join(f"def {word()}({word()}):\n    return {word()} + {word()}.{word()}\n" for _ in range(20)) for _ in range(2)]
+    copy = "".join(f.replace("return", "yield", 1) if k % 5 == 0 else f + "\n\n" for k, f in enumerate(funcs))
+    rows = [("p", "p/a.py", D1, D1, "\n".join(funcs)), ("q", "q/b.py", D1, D1, copy), ("p", "p/c.py", D1, D1, mine[0]), ("q", "q/d.py", D1, D1, mine[1])]
+    got = {r["path"]: r["vendored"] for r in authorship.classify(spark, scans(spark, rows)).collect()}
+    assert got == {"p/a.py": True, "q/b.py": True, "p/c.py": False, "q/d.py": False}
 
 
 def test_large_blob_is_found(spark):
