@@ -156,7 +156,7 @@ def measure(text: str | None) -> tuple[int, int, int]:
         mine = (own if clause else once)[k] / content[k] if content[k] else 1.0
         if clause and mine >= LEAST_OWN:
             continue
-        listed = hashes >= 3 or (items >= 4 and items >= 0.2 * n and not clause) or (urls and not clause)
+        listed = hashes >= 3 or (items >= 3 and items >= 0.2 * n and not clause) or (urls and not clause)
         if listed or (content[k] and mine < LEAST_OWN):
             piled += total
     return all_words, piled, chars

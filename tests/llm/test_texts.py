@@ -35,13 +35,47 @@ def test_pairs_keep_the_newest_and_assign_once(spark):
 
 
 def test_assignment_is_the_heaviest():
-    from itertools import permutations
+    def brute(options, i=0, used=frozenset()):
+        if i == len(options):
+            return 0.0
+        return max([brute(options, i + 1, used), *(x + brute(options, i + 1, used | {j}) for j, x in options[i] if j not in used)])
 
-    rnd = np.random.default_rng(3)
-    for n, m in [(1, 1), (2, 4), (4, 3), (4, 4)]:
-        w = rnd.random((n, m))
-        best = max(sum(w[i, p[i]] for i in range(n)) if n <= m else sum(w[p[j], j] for j in range(m)) for p in permutations(range(max(n, m)), min(n, m)))
-        assert abs(sum(w[i, j] for i, j in docpairs.assign(w)) - best) < 1e-9
+    rnd = random.Random(3)
+    for _ in range(400):
+        m = rnd.randint(1, 6)
+        o = [[(j, rnd.choice([0.25, 0.33, 1.0, 1.3, rnd.random() + 0.01])) for j in rnd.sample(range(m), rnd.randint(0, min(m, 4)))] for _ in range(rnd.randint(1, 6))]
+        got = docpairs.assign(o)
+        taken = [j for j in got if j is not None]
+        assert len(taken) == len(set(taken))
+        assert abs(sum(dict(o[k])[j] for k, j in enumerate(got) if j is not None) - brute(o)) < 1e-9
+
+
+def test_displaced_comments_go_where_their_tags_point(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnp") + rnd.choice("aeiou") for _ in range(3))
+    rows, want = [], {}
+    for f in range(12):
+        n = 9
+        names, params = [word() + word().title() for _ in range(n)], [(word(), word()) for _ in range(n)]
+        docs = [f"Sorts the rows of {names[k]} by age.\n\n@param {params[k][0]} first\n@param {params[k][1]} second" for k in range(n)]
+        # Every comment of the odd files stands one symbol too low, the last one first.
+        order = [(k - 1) % n if f % 2 and k else n - 1 if f % 2 else k for k in range(n)]
+        # Lines on both sides of a block's edge.
+        for k in range(n):
+            rows.append((f"{f}.{k}", "p", "function", names[k], f"p/{f}.py", 4_060 + 9 * k, docs[order[k]], f"({params[k][0]}: int, {params[k][1]}: int)", 1, None, None))
+            if order[k] != n - 1 or k == n - 1:
+                want[f"{f}.{order[k]}"] = f"{f}.{k}"
+    got = {r["id"]: r["comment_id"] for r in docpairs.links(spark.createDataFrame(rows, NODE)).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want
+
+
+def test_many_symbols_on_one_line(spark, monkeypatch):
+    monkeypatch.setattr(docpairs, "HELD", 40)
+    monkeypatch.setattr(docpairs, "MARGIN", 8)
+    rows = [(f"{k:04d}", "p", "method", f"name{k}", "p/a.js", 1, f"Keeps what the cache of {k} would lose.", "(a)", 1, None, None) for k in range(300)]
+    rows += [(f"x{k}", "p", "method", f"name{k}", "p/a.js", None, "Keeps what others lose.", None, 1, None, None) for k in range(5)]
+    got = docpairs.links(spark.createDataFrame(rows, NODE)).collect()
+    assert len(got) == 305 and all(r["id"] == r["comment_id"] for r in got)
 
 
 @settings(max_examples=120, deadline=None)
@@ -236,3 +270,9 @@ def test_page_differencing_does_not_depend_on_ranges(spark):
         assert sum(r["text"] == str(r["item_id"]) for r in pagediff.without_shared(p).collect()) == sum(v == 2 for v in want.values())
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_product_listings_are_stuffed():
+    line = "LAYER-{0} silent cursor tags: reader, mirror, scope, worker only {0}.99\n"
+    w, piled, _ = stuffing.measure("".join(line.format(k) for k in range(20, 32)))
+    assert piled == w
