@@ -1,26 +1,30 @@
 """Functions paired with their documentation.
 
 Within a file every documentation comment is a candidate for the symbol it stands at and
-for the symbols next to it.  Candidates are weighed by the parameter names a comment
-tags, by the names it mentions and by distance; a bipartite assignment gives each symbol
-at most one comment and each comment at most one symbol.  Implausible links are rejected,
-and so are comments that say nothing of their own.
+for the symbols near it.  Candidates are weighed by the parameter names a comment tags, by
+the names it mentions and by distance; the heaviest bipartite assignment gives each symbol
+at most one comment and each comment at most one symbol.  Implausible links are no
+candidates, and comments that say nothing of their own are marked.
 """
 
 from __future__ import annotations
 
 import re
+from heapq import heappop, heappush
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.batches import map_batches
 
-#: Lines of a file that are assigned together; it bounds the size of one assignment.
-BLOCK_LINES = 4_096
-#: Neighbours before and after a comment that are candidates for it.
-REACH = 1
+#: Lines of a file that are one unit of work, and lines before and after them that are looked
+#: at as well, so no link is lost at an edge.
+BLOCK_LINES, MARGIN_LINES = 4_096, 512
+#: Symbols that are held at a time, however many stand on few lines, and those looked at around.
+HELD, MARGIN = 8_192, 256
+#: Symbols before and after a comment that are candidates for it.
+REACH = 3
 #: A link lighter than this is implausible.
 LEAST_WEIGHT = 0.25
 
@@ -188,86 +192,79 @@ def weight(gap: int, tags: list[str], names: frozenset[str], description: str, n
     return w
 
 
-def assign(w: np.ndarray) -> list[tuple[int, int]]:
-    """Heaviest bipartite assignment, by successive shortest paths (Hungarian method)."""
-    n, m = w.shape
-    if n == 0 or m == 0:
-        return []
-    flip = n > m
-    c = -(w.T if flip else w)
-    n, m = c.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    p, way = np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=int)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        low = np.full(m + 1, np.inf)
-        used = np.zeros(m + 1, dtype=bool)
+def assign(options: list[list[tuple[int, float]]]) -> list[int | None]:
+    """For each comment the symbol it gets in the heaviest assignment, or none.
+
+    ``options``: (symbol, weight above 0) of each comment.  Successive shortest augmenting
+    paths with potentials, over the given pairs only; a comment may stay without a symbol
+    at weight 0, so it never takes a symbol from a heavier one.
+    """
+    owner: dict[int, int] = {}
+    got: list[int | None] = [None] * len(options)
+    price: dict[int, float] = {}
+    for start, mine in enumerate(options):
+        if not mine:
+            continue
+        # Distances to symbols, in terms of weight lost; -1 - k stands for "comment k gets none".
+        best: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, far = start, 0.0
+        base = max(0.0, *(x - price.get(j, 0.0) for j, x in mine))
+        while True:
+            for j, x in [*options[row], (-1 - row, 0.0)]:
+                d = far + base - (x - price.get(j, 0.0))
+                if j not in done and d < best.get(j, float("inf")) - 1e-12:
+                    best[j], came[j] = d, row
+                    heappush(heap, (d, j))
+            while True:
+                far, j = heappop(heap)
+                if j not in done and far <= best[j] + 1e-12:
+                    break
+            done.add(j)
+            if j < 0 or j not in owner:
+                break
+            row = owner[j]
+            base = next(x for i, x in options[row] if i == j) - price.get(j, 0.0)
+        # Symbols passed on the way become dearer by what the path saved on them.
+        for x in done:
+            if x >= 0:
+                price[x] = price.get(x, 0.0) + far - best[x]
         while True:
-            used[j0] = True
-            i0 = p[j0]
-            cur = c[i0 - 1] - u[i0] - v[1:]
-            free = ~used[1:]
-            better = free & (cur < low[1:])
-            low[1:][better] = cur[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, low[1:], np.inf))) + 1
-            d = low[j1]
-            u[p[used]] += d
-            v[used] -= d
-            low[~used] -= d
-            j0 = j1
-            if p[j0] == 0:
+            row = came[j]
+            before = got[row]
+            got[row] = j if j >= 0 else None
+            if j >= 0:
+                owner[j] = row
+            if row == start:
                 break
-        while j0:
-            j1 = way[j0]
-            p[j0] = p[j1]
-            j0 = j1
-    out = [(int(p[j]) - 1, j - 1) for j in range(1, m + 1) if p[j]]
-    return [(b, a) for a, b in out] if flip else out
-
-
-def _file(rows: list[tuple]) -> list[tuple]:
-    """Links (comment row, symbol row, weight) of one file's symbols, sorted by line."""
-    parsed = [(*parse(r["docstring"]), parameters(r["signature"])) for r in rows]
-    options: dict[int, list[tuple[int, float]]] = {}
+            j = before
+    return got
+
+
+def _links(rows: list[dict]) -> list[tuple[int, int, float]]:
+    """(comment row, symbol row, weight) of a stretch of one file's symbols, in their order."""
+    options = []
     for k, r in enumerate(rows):
-        if not (r["docstring"] or "").strip():
-            continue
-        for j in range(max(0, k - REACH), min(len(rows), k + REACH + 1)):
-            x = weight(j - k, parsed[k][1], parsed[j][2], parsed[k][0], rows[j]["name"])
-            if x >= LEAST_WEIGHT:
-                options.setdefault(k, []).append((j, x))
-    # Comments whose own symbol is the heaviest choice on both sides need no solver.
-    links, rest = [], []
-    best_for: dict[int, float] = {}
-    for k, o in options.items():
-        for j, x in o:
-            if j != k:
-                best_for[j] = max(best_for.get(j, 0), x)
-    for k, o in options.items():
-        own = dict(o).get(k, 0)
-        if own and own >= max(x for _, x in o) and own >= best_for.get(k, 0):
-            links.append((k, k, own))
-        else:
-            rest.append(k)
-    taken = {j for _, j, _ in links}
-    # Comments compete only with near ones: each stretch of neighbours is its own problem.
-    stretches: list[list[int]] = []
-    for k in sorted(rest):
-        if stretches and k - stretches[-1][-1] <= 2 * REACH:
-            stretches[-1].append(k)
-        else:
-            stretches.append([k])
-    for some in stretches:
-        cols = {j: b for b, j in enumerate(sorted({j for k in some for j, _ in options[k]} - taken))}
-        w = np.zeros((len(some), len(cols)))
-        for a, k in enumerate(some):
-            for j, x in options[k]:
-                if j in cols:
-                    w[a, cols[j]] = x
-        back = list(cols)
-        links += [(some[a], back[b], float(w[a, b])) for a, b in assign(w) if w[a, b] >= LEAST_WEIGHT]
-    return [(rows[j]["id"], rows[k]["id"], rows[j]["signature"] or rows[j]["name"], parsed[k][0], x, informative(parsed[k][0], rows[j]["name"], parsed[j][2])) for k, j, x in links]
+        mine = []
+        if r["_doc"] is not None:
+            for j in range(max(0, k - REACH), min(len(rows), k + REACH + 1)):
+                x = weight(j - k, r["_doc"][1], rows[j]["_names"], r["_doc"][0], rows[j]["name"])
+                if x >= LEAST_WEIGHT:
+                    mine.append((j, x))
+        options.append(mine)
+    return [(k, j, dict(options[k])[j]) for k, j in enumerate(assign(options)) if j is not None]
+
+
+def _rows(rows: list[dict], first: int, last: int) -> list[tuple]:
+    """The links of the comments of rows ``first`` to ``last`` that are at home here."""
+    out = []
+    for k, j, x in _links(rows):
+        if first <= k < last and rows[k]["_home"]:
+            c, y = rows[k], rows[j]
+            out.append((y["id"], c["id"], y["signature"] or y["name"], c["_doc"][0], x, informative(c["_doc"][0], y["name"], y["_names"])))
+    return out
 
 
 SCHEMA = "id string, comment_id string, signature string, description string, weight double, informative boolean"
@@ -288,37 +285,46 @@ def links(nodes: DataFrame) -> DataFrame:
     """(id, comment_id, signature, description, weight, informative): the comment assigned
     to each function or method.
 
-    Symbols are gathered by file and block of ``BLOCK_LINES`` lines, sorted by line, so no
-    task holds more than the symbols of one block; symbols without a file are spread by
-    their id and have no neighbours.  Null, blank and repeated docstrings,
-    null signatures, names and lines give no link or an uninformative one.
+    Symbols are gathered by file and block of ``BLOCK_LINES`` lines, sorted by line; those
+    within ``MARGIN_LINES`` of a block's edge are given to the block beyond it as well, and
+    each comment is answered for by its own block.  No task holds more than ``HELD`` symbols
+    at a time.  Symbols without a file or line are spread by their id and have no
+    neighbours.  Null, blank and repeated docstrings, null signatures, names and lines give
+    no link or an uninformative one.
     """
-    n = newest(nodes).withColumn("_block", (F.coalesce("start_line", F.lit(0)) / BLOCK_LINES).cast("int"))
-    key = F.xxhash64(F.coalesce("package", F.lit("")), F.coalesce("file_path", F.concat(F.lit("\\"), F.col("id"))), "_block")
+    n = newest(nodes)
+    line, known = F.col("start_line"), F.col("file_path").isNotNull() & F.col("start_line").isNotNull()
+    own = F.floor(line / BLOCK_LINES)
+    near = F.array_distinct(F.array(own, F.floor((line - MARGIN_LINES) / BLOCK_LINES), F.floor((line + MARGIN_LINES) / BLOCK_LINES)))
+    n = n.withColumn("_block", F.explode(F.when(known, near).otherwise(F.array(F.lit(0).cast("bigint"))))).withColumn("_home", ~known | (F.col("_block") == own))
+    key = F.when(known, F.xxhash64(F.coalesce("package", F.lit("")), "file_path", "_block")).otherwise(F.xxhash64(F.lit("\\"), "id"))
     s = n.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key", "file_path", "start_line", "id")
-    names = ["_key", "id", "name", "signature", "docstring"]
+    names = ["_key", "_home", "id", "name", "signature", "docstring"]
 
     def run(batches):
-        import pyarrow as pa
-
         schema = pa.schema([("id", pa.string()), ("comment_id", pa.string()), ("signature", pa.string()), ("description", pa.string()), ("weight", pa.float64()), ("informative", pa.bool_())])
         held: list[dict] = []
+        first = 0
 
-        def emit(done: list[list[dict]]):
-            rows = [x for g in done for x in _file(g)]
+        def emit(rows: list[tuple]):
             cols = list(zip(*rows)) if rows else [[] for _ in schema]
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for b in batches:
-            groups: list[list[dict]] = []
+            out: list[tuple] = []
             for r in b.to_pylist():
                 if held and held[-1]["_key"] != r["_key"]:
-                    groups.append(held)
-                    held = []
+                    out += _rows(held, first, len(held))
+                    held, first = [], 0
+                elif len(held) == HELD:
+                    out += _rows(held, first, HELD - MARGIN)
+                    held, first = held[HELD - 2 * MARGIN :], MARGIN
+                r["_doc"] = parse(r["docstring"]) if (r["docstring"] or "").strip() else None
+                r["_names"] = parameters(r["signature"])
                 held.append(r)
-            if groups:
-                yield emit(groups)
+            if out:
+                yield emit(out)
         if held:
-            yield emit([held])
+            yield emit(_rows(held, first, len(held)))
 
     return s.select(*names).mapInArrow(run, SCHEMA)
