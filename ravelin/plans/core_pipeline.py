@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators import hierarchy, incremental
+from ravelin.session import Cut
 from ravelin.sources.tables import load
 
 
@@ -29,16 +30,25 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.paths(spark, _links(spark, d)))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """What the next run has to index, each path once."""
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """(path, checksum) as successful runs have indexed it last."""
     files = load(spark, d, "files").select("path", "content_hash", "size", "indexed_at", "modified_at")
     known = incremental.rows_of_runs(files.withColumn("_at", F.timestamp_millis("indexed_at")), "_at", load(spark, d, "sync_runs")).select(
         "path", "indexed_at", "modified_at", "size", "content_hash"
     )
-    manifest = incremental.newest(known, "path", ["indexed_at", "modified_at"]).select("path", incremental.hex_digest(F.col("content_hash")).alias("checksum"))
+    return incremental.newest(known, "path", ["indexed_at", "modified_at"]).select("path", F.lit(None).cast("long").alias("size"), incremental.hex_digest(F.col("content_hash")).alias("checksum"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """What the next run has to index, each path once: the run's committed output, over a
+    manifest of what successful runs have indexed (files count as changed by checksum)."""
     scans = load(spark, d, "file_scans").select("path", "seen_at", "received_at", "content_hash", "size", F.col("content").isNotNull().alias("there"))
     listing = incremental.newest(scans, "path", ["seen_at", "received_at"]).where("there").select("path", "size", incremental.hex_digest(F.col("content_hash")).alias("checksum"))
-    return incremental.plan(listing, manifest).select("path", "change")
+    runs = incremental.Incremental(spark, Cut(spark, "incremental").root)
+    runs.adopt(_indexed(spark, d))
+    if runs.run(listing, lambda due: due.select("path", "change")) is None:
+        return spark.createDataFrame([], "path string, change string")
+    return runs.output().select("path", "change")
 
 
 def queries():

@@ -31,6 +31,41 @@ def test_each_record_once_however_runs_fail(spark, tmp_path):
     assert runs.run(second, process) is None
 
 
+def test_a_listing_that_grows_while_a_run_works(spark, tmp_path):
+    runs = inc.Incremental(spark, f"file://{tmp_path}/state")
+    at = f"{tmp_path}/list"
+    listing(spark, [("a", 1, "1")]).write.parquet(f"{at}/1")
+
+    def grows(df):
+        out = df.select("path")
+        listing(spark, [("b", 1, "2")]).write.parquet(f"{at}/2")
+        return out
+
+    runs.run(spark.read.schema(LIST).parquet(f"{at}/*"), grows)
+    assert [r["path"] for r in runs.manifest().collect()] == [r["path"] for r in runs.output().collect()] == ["a"]
+    assert runs.run(spark.read.schema(LIST).parquet(f"{at}/*"), process) == "00000001"
+    assert sorted(r["path"] for r in runs.output().select("path").collect()) == ["a", "b"]
+
+
+def test_of_two_runs_at_a_time_one_commits(spark, tmp_path):
+    runs = inc.Incremental(spark, f"file://{tmp_path}")
+
+    def other(df):
+        assert inc.Incremental(spark, f"file://{tmp_path}").run(listing(spark, [("a", 1, "1")]), process) == "00000000"
+        return process(df)
+
+    with pytest.raises(inc.Conflict):
+        runs.run(listing(spark, [("a", 1, "1")]), other)
+    assert runs.output().count() == 1 and runs.run(listing(spark, [("a", 1, "1")]), process) is None
+
+
+def test_sizes_count_where_both_are_known(spark, tmp_path):
+    runs = inc.Incremental(spark, f"file://{tmp_path}")
+    runs.adopt(spark.createDataFrame([("a", None, "1"), ("b", 2, "1")], "path string, size long, checksum string"))
+    assert runs.run(listing(spark, [("a", 1, "1"), ("b", 3, "1")]), process) == "00000001"
+    assert [r["path"] for r in runs.output().collect()] == ["b"]
+
+
 def test_runs_and_their_rows(spark):
     runs = spark.sql(
         """SELECT * FROM VALUES (1, TIMESTAMP '2031-01-01 10:00:00', TIMESTAMP '2031-01-01 11:00:00', 'ok'), (2, TIMESTAMP '2031-01-02 10:00:00', NULL, 'OK '),
