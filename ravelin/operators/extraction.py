@@ -1,202 +1,177 @@
-"""First pass over source files: definitions, containment and references.
+"""First pass over source files: definitions, containment and references, and their resolution.
 
-Python is read with the standard parser; other languages by the keyword scanner, which
-finds definitions but no references.  The rows have the shape of the symbol graph.
+The rows have the shape of the symbol graph.  Extraction is one pass over the files, in
+Arrow batches; resolution is relational.
 """
 
 from __future__ import annotations
 
-import ast
-import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ravelin.operators import chunking, resolution
-
-ROW = (
-    "row string, path string, language string, id string, kind string, name string, qualified_name string, start_line int, end_line int, start_column int, end_column int, "
-    "docstring string, signature string, visibility string, is_async boolean, decorators string, parent string, ref_kind string, line int, col int"
-)
-_COLUMNS = [c.strip().split(" ")[0] for c in ROW.split(",")]
-
-
-def node_id(kind: str, qualified: str, path: str, line: int, col: int) -> str:
-    if kind == "file":
-        return f"file:{path}"
-    raw = b"\0".join([qualified.encode("utf-8", "surrogatepass"), path.encode("utf-8", "surrogatepass"), line.to_bytes(4, "little"), col.to_bytes(4, "little")])
-    return f"{kind}:{hashlib.sha256(raw).hexdigest()[:32]}"
-
-
-def _row(**kw) -> tuple:
-    return tuple(kw.get(c) for c in _COLUMNS)
-
-
-class _Visitor(ast.NodeVisitor):
-    def __init__(self, path: str, source: str):
-        self.path, self.rows, self.scope, self.kinds = path, [], [], []
-        self.parents = [f"file:{path}"]
-        self.lines = source.split("\n")
-
-    def define(self, node, kind: str, name: str, signature: str | None = None, is_async: bool = False):
-        q = "::".join([*self.scope, name])
-        i = node_id(kind, q, self.path, node.lineno, node.col_offset)
-        doc = ast.get_docstring(node) if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else None
-        deco = [ast.unparse(d) for d in getattr(node, "decorator_list", [])]
-        self.rows.append(
-            _row(
-                row="node", path=self.path, language="python", id=i, kind=kind, name=name, qualified_name=q, start_line=node.lineno, end_line=node.end_lineno, start_column=node.col_offset,
-                end_column=node.end_col_offset, docstring=doc, signature=signature, visibility="private" if name.startswith("_") else "public", is_async=is_async,
-                decorators=None if not deco else str(deco), parent=self.parents[-1],
-            )
-        )
-        return i
-
-    def refer(self, kind: str, name: str, node, qualified: str | None = None):
-        self.rows.append(_row(row="site", path=self.path, language="python", id=self.parents[-1], name=name, qualified_name=qualified, ref_kind=kind, line=node.lineno, col=node.col_offset))
-
-    def _inside(self, node, i: str, name: str, kind: str):
-        self.parents.append(i)
-        self.scope.append(name)
-        self.kinds.append(kind)
-        self.generic_visit(node)
-        self.parents.pop()
-        self.scope.pop()
-        self.kinds.pop()
-
-    def _function(self, node, is_async: bool):
-        kind = "method" if self.kinds and self.kinds[-1] == "class" else "function"
-        sig = f"({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-        self._inside(node, self.define(node, kind, node.name, sig, is_async), node.name, kind)
-
-    def visit_FunctionDef(self, node):
-        self._function(node, False)
-
-    def visit_AsyncFunctionDef(self, node):
-        self._function(node, True)
-
-    def visit_ClassDef(self, node):
-        i = self.define(node, "class", node.name)
-        self.parents.append(i)
-        for b in node.bases:
-            if isinstance(b, ast.Name):
-                self.refer("extends", b.id, b)
-        self.parents.pop()
-        self._inside(node, i, node.name, "class")
-
-    def visit_Import(self, node):
-        for a in node.names:
-            self.define(node, "import", a.name)
-            self.refer("imports", a.name, node)
-
-    def visit_ImportFrom(self, node):
-        module = "." * node.level + (node.module or "")
-        self.define(node, "import", module)
-        self.refer("imports", module, node)
-
-    def visit_Call(self, node):
-        f = node.func
-        if isinstance(f, ast.Name):
-            self.refer("calls", f.id, node)
-        elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-            q = f"{self.scope[0]}::{f.attr}" if f.value.id in ("self", "cls") and self.scope else f"{f.value.id}::{f.attr}"
-            self.refer("qualified", f.attr, node, q)
-        self.generic_visit(node)
-
-    def visit_Assign(self, node):
-        if not self.kinds:
-            for t in node.targets:
-                if isinstance(t, ast.Name):
-                    self.define(node, "constant" if t.id.isupper() else "variable", t.id)
-        self.generic_visit(node)
-
-
-
-
-def _scan(path: str, language: str, source: str) -> list[tuple]:
-    lines, found = source.splitlines(), []
-    rx = re.compile(r"^\s*(?:(?:" + "|".join(map(re.escape, chunking.MODIFIERS)) + r") )*(" + "|".join(re.escape(k) for k in sorted(chunking.KEYWORDS, key=len, reverse=True)) + r") +([^\W\d]\w*)")
-    for n, line in enumerate(lines, 1):
-        m = rx.match(line)
-        if m:
-            found.append((n, chunking.KEYWORDS[m.group(1)], m.group(2), line))
-    rows = []
-    for k, (n, kind, name, line) in enumerate(found):
-        end = found[k + 1][0] - 1 if k + 1 < len(found) else len(lines)
-        col = len(line) - len(line.lstrip())
-        rows.append(
-            _row(
-                row="node", path=path, language=language, id=node_id(kind, name, path, n, col), kind=kind, name=name, qualified_name=name, start_line=n, end_line=end, start_column=col,
-                end_column=len(line), signature=line.strip(), visibility="public", is_async="async " in line, parent=f"file:{path}",
-            )
-        )
-    return rows
-
-
-def extract_text(path: str, language: str, source: str) -> list[tuple]:
-    rows = [_row(row="node", path=path, language=language, id=f"file:{path}", kind="file", name=path.rsplit("/", 1)[-1], qualified_name=path, start_line=1, end_line=source.count("\n") + 1, start_column=0, end_column=0, visibility="public", is_async=False)]
-    if language == "python":
-        try:
-            v = _Visitor(path, source)
-            v.visit(ast.parse(source))
-            return rows + v.rows
-        except (SyntaxError, ValueError, RecursionError):
-            pass
-    return rows + _scan(path, language, source)
+from ravelin.operators import parsing, resolution
+from ravelin.operators.parsing import node_id  # noqa: F401
+from ravelin.session import Cut
+
+NODE = [
+    "id", "kind", "name", "qualified_name", "file_path", "language", "start_line", "end_line", "start_column", "end_column", "docstring", "signature", "visibility", "is_exported", "is_async", "is_static", "is_abstract",
+    "decorators", "type_parameters",
+]
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Definitions (row ``node``) and references (row ``site``) of files (path, language,
-    content); files without content give their file node only."""
+    """Definitions (row ``node``), further containment (row ``contains``) and references (row
+    ``site``) of files (path, language, content); files without content or in an unknown
+    language give their file node only."""
+    schema = _parse_datatype_string(parsing.FIELDS)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for p, lang, t in zip(*(c.to_pylist() for c in b.columns)) if p is not None for r in parsing.extract(p, lang, t or "")]
+            cols = list(zip(*rows)) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return files.select("path", "language", "content").mapInArrow(run, schema)
+
+
+#: Endings under which a module may be stored, in order (fixed values).
+ENDINGS = [".rs", ".py", ".pyi", ".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", "/mod.rs", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
+
+
+def joined(folder: str, relative: str) -> str:
+    """``relative`` seen from ``folder``, without steps up or on the spot."""
+    out = folder.split("/") if folder else []
+    for part in relative.split("/"):
+        if part == "..":
+            out = out[:-1]
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
+
+
+def places(file: str, module: str, language: str) -> list[str]:
+    """Paths a module may stand for, as written in ``file``, the likeliest first."""
+    folder = file.rsplit("/", 1)[0] if "/" in file else ""
+    if language in ("c", "cpp"):
+        return [joined(folder, module)]
+    if module.startswith(("./", "../")):
+        near, far = joined(folder, module), None
+    elif module.startswith("."):
+        ups = len(module) - len(module.lstrip("."))
+        near, far = joined(folder, "../" * (ups - 1) + module.lstrip(".").replace(".", "/")), None
+    else:
+        rel = module.replace("::", "/").replace(".", "/")
+        near, far = joined(folder, rel), rel
+    return [b + e for b in dict.fromkeys([near, far]) if b for e in ENDINGS]
+
+
+def imported_files(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, module, imported): the file an import stands for, if it is among ``files`` (path).
+
+    The first place that exists; an include that exists nowhere near goes to the only file
+    of its name.
+    """
+    s = sites.select("file", "name", "language").distinct()
 
     def run(batches):
-        for pdf in batches:
-            rows = [r for p, lang, t in zip(pdf["path"], pdf["language"], pdf["content"]) for r in extract_text(p, lang, t or "")]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+        for b in batches:
+            rows = [(f, m, lang, n, p) for f, m, lang in zip(*(c.to_pylist() for c in b.columns)) for n, p in enumerate(places(f, m, lang))]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()])], names=["file", "module", "language", "n", "place"])
 
-    return files.select("path", "language", "content").mapInPandas(run, ROW)
+    tried = s.mapInArrow(run, "file string, module string, language string, n int, place string")
+    p = files.select(F.col("path").alias("place")).distinct()
+    found = tried.join(p, "place").groupBy("file", "module", "language").agg(F.min_by("place", "n").alias("imported"))
+    base = F.regexp_extract("place", r"([^/]*)$", 1)
+    alone = p.groupBy(base.alias("_base")).agg(F.count(F.lit(1)).alias("_n"), F.min("place").alias("imported")).where("_n = 1").drop("_n")
+    rest = s.where(F.col("language").isin("c", "cpp")).withColumnRenamed("name", "module").join(found.select("file", "module"), ["file", "module"], "left_anti")
+    by_name = rest.withColumn("_base", F.regexp_extract("module", r"([^/]*)$", 1)).join(alone, "_base").select("file", "module", "imported")
+    return found.select("file", "module", "imported").unionByName(by_name)
 
 
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a set of files: extraction, containment, resolution."""
-    x = extract(files).cache()
-    nodes = x.where("row = 'node'").dropDuplicates(["id"]).select(
-        "id", "kind", "name", "qualified_name", F.col("path").alias("file_path"), "language", "start_line", "end_line", "start_column", "end_column", "docstring", "signature", "visibility", "is_async", "decorators"
-    )
-    contains = x.where("row = 'node' AND parent IS NOT NULL").select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind"), F.lit(None).cast("string").alias("metadata"), "start_line", F.lit(None).cast("int").alias("col")).withColumnRenamed("start_line", "line").dropDuplicates(["source", "target"])
-    sites = x.where("row = 'site'").select(F.col("path").alias("file"), "language", "id", "name", "qualified_name", "ref_kind", "line", "col")
-    paths = nodes.where("kind = 'file'").select("file_path")
-    modules = paths.withColumn("module", F.regexp_replace(F.regexp_replace("file_path", r"(?:/__init__)?\.py$", ""), "/", "."))
-    imp = sites.where("ref_kind = 'imports'").join(modules, F.col("name") == F.col("module")).select("file", F.col("file_path").alias("imported"), "id", "line", "col").distinct()
-    pairs = imp.select("file", "imported")
-    out = contains.unionByName(imp.select(F.col("id").alias("source"), F.concat(F.lit("file:"), F.col("imported")).alias("target"), F.lit("imports").alias("kind"), resolution.metadata(F.lit(0.9), F.lit("module")).alias("metadata"), "line", "col"))
+    """(nodes, edges) of a set of files: extraction, containment, resolution.
+
+    The extracted rows are written once.  References that resolve to nothing are dropped,
+    imports never: they lead to their own node, or to the file an include stands for.
+    """
+    spark = files.sparkSession
+    cut = Cut(spark, "extraction")
+    x = cut(extract(files))
+    nodes = x.where("row = 'node'").dropDuplicates(["id"]).withColumnRenamed("path", "file_path").select(*NODE)
+    inside = x.where("row IN ('node', 'contains') AND parent IS NOT NULL").groupBy(F.col("parent").alias("source"), F.col("id").alias("target")).agg(F.min("start_line").alias("line"))
+    edges = [inside.select("source", "target", F.lit("contains").alias("kind"), F.lit(None).cast("string").alias("metadata"), "line", F.lit(None).cast("int").alias("col"))]
+    sites = x.where("row = 'site'").select(F.col("path").alias("file"), "language", "id", "name", "ref_kind", "qualifier", "chain", "line", "col").distinct()
+    imports = sites.where("ref_kind = 'imports'")
+    pairs = cut(imported_files(imports, nodes.where("kind = 'file'").select(F.col("file_path").alias("path"))))
+    to_file = F.col("language").isin("c", "cpp") & F.col("imported").isNotNull()
+    strong = ~to_file & F.col("name").startswith(".")
+    landed = imports.join(pairs.select("file", F.col("module").alias("name"), "imported"), ["file", "name"], "left")
+    by = F.when(to_file, "import").when(strong, "qualified-name").otherwise("exact-match")
+    edges.append(
+        landed.select(F.col("id").alias("source"), F.when(to_file, F.concat(F.lit("file:"), "imported")).otherwise(F.col("qualifier")).alias("target"), F.lit("imports").alias("kind"), resolution.metadata(F.when(strong, 0.95).otherwise(0.9), by).alias("metadata"), "line", "col")
+    )
+    pairs = pairs.select("file", "imported").distinct()
 
     def defs(kinds):
         return nodes.where(F.col("kind").isin(kinds)).select("id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
 
-    def edges(s, found, kind, on):
-        f = found.select("file", "language", on, F.col("id").alias("target"), "confidence", "resolved_by")
-        return s.join(f, ["file", "language", on]).select(F.col("id").alias("source"), "target", F.lit(kind).alias("kind"), resolution.metadata(F.col("confidence"), F.col("resolved_by")).alias("metadata"), "line", "col")
+    def edge(s, found, kind, on="name", how=None):
+        f = found.select("file", "language", on, F.col("id").alias("target"), F.col("confidence"), (F.lit(how[1]) if how else F.col("resolved_by")).alias("resolved_by"))
+        j = s.withColumnRenamed("id", "source").join(f, ["file", "language", on])
+        edges.append(j.select("source", "target", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), resolution.metadata(F.lit(how[0]) if how else F.col("confidence"), F.col("resolved_by")).alias("metadata"), "line", "col"))
 
+    callable_, classes = defs(resolution.ALLOWED["calls"]), defs(resolution.ALLOWED["instantiates"])
     calls = sites.where("ref_kind = 'calls'")
-    one = resolution.names(calls, defs(resolution.ALLOWED["calls"]), pairs)
-    rest = calls.select("file", "language", "name").distinct().join(one, ["file", "language", "name"], "left_anti")
-    two = resolution.names(rest, defs(resolution.ALLOWED["instantiates"]), pairs)
-    ext = sites.where("ref_kind = 'extends'")
-    qual = sites.where("ref_kind = 'qualified'")
-    q = resolution.qualified(qual, defs(resolution.ALLOWED["qualified"]), pairs).withColumn("resolved_by", F.lit("qualified"))
-    out = out.unionByName(edges(calls, one, "calls", "name")).unionByName(edges(calls, two, "instantiates", "name"))
-    out = out.unionByName(edges(ext, resolution.names(ext, defs(resolution.ALLOWED["extends"]), pairs), "extends", "name")).unionByName(edges(qual, q, "calls", "qualified_name"))
-    return nodes, out.distinct()
+    one = cut(resolution.names(calls, callable_, pairs))
+    edge(calls, one, "calls")
+    rest = calls.join(one.select("file", "language", "name"), ["file", "language", "name"], "left_anti").unionByName(sites.where("ref_kind = 'new'"))
+    edge(rest, resolution.names(rest, classes, pairs), "instantiates")
+    for ref in ("references", "strict", "extends", "implements"):
+        s = sites.where(F.col("ref_kind") == ref)
+        edge(s, resolution.names(s, defs(resolution.ALLOWED[ref]), pairs), "references" if ref == "strict" else ref)
+    # Where a language does not say which of the two it is, the target's kind does.
+    s = sites.where("ref_kind = 'inherits'")
+    auto = resolution.names(s, defs(resolution.ALLOWED["inherits"]), pairs).join(nodes.select("id", F.col("kind").alias("_kind")), "id")
+    f = auto.select("file", "language", "name", F.col("id").alias("target"), "confidence", "resolved_by", F.when(F.col("_kind").isin("interface", "trait"), "implements").otherwise("extends").alias("kind"))
+    edges.append(s.withColumnRenamed("id", "source").join(f, ["file", "language", "name"]).select("source", "target", "kind", resolution.metadata(F.col("confidence"), F.col("resolved_by")).alias("metadata"), "line", "col"))
+    qual = sites.where("ref_kind = 'qualified'").withColumn("qualified_name", F.concat_ws("::", "qualifier", "name"))
+    edge(qual, resolution.qualified(qual, defs(resolution.ALLOWED["qualified"]), pairs), "calls", "qualified_name", (0.95, "qualified-name"))
+    met = sites.where("ref_kind = 'method'").withColumn("site", F.xxhash64("id", "name", "line", "col", "chain"))
+    types = resolution.receivers(cut, met.withColumn("steps", F.from_json("chain", resolution.STEPS)), callable_, owners(nodes), pairs, classes)
+    typed = met.join(types, "site").withColumn("qualified_name", F.concat_ws("::", "type", "name"))
+    edge(typed, resolution.qualified(typed, callable_, pairs), "calls", "qualified_name", (0.7, "instance-method"))
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    # One edge for a source, target, kind and place: the most certain.
+    key = ["source", "target", "kind", "line", "col"]
+    return nodes, out.groupBy(*key).agg(F.max("metadata").alias("metadata")).select("source", "target", "kind", "metadata", "line", "col")
+
+
+def owners(nodes: DataFrame) -> DataFrame:
+    """``return_types`` with the type that ``Self`` stands for in each."""
+    o = nodes.select("id", F.regexp_extract("qualified_name", r"(?:^|::)([^:]+)::[^:]+$", 1).alias("owner"))
+    return return_types(nodes).select("id", "bare", "element").join(o, "id")
 
 
 # ---- return types
 
-#: Types that stand for the value they hold, and types whose element is reached by a loop (fixed values).
+#: Types that stand for the value they hold (fixed values).
 TRANSPARENT = {"Result", "Option", "Box", "Arc", "Rc", "Promise", "Optional", "Awaitable", "Future"}
-COLLECTIONS = {"Vec", "List", "list", "Array", "Set", "set", "HashSet", "Iterable", "Iterator", "Sequence", "Collection", "ArrayList", "VecDeque", "tuple", "Tuple"}
+#: Types whose element is reached by a loop (fixed values), and further names of such types.
+COLLECTIONS = {
+    "Vec", "VecDeque", "Deque", "Array", "ReadonlyArray", "HashMap", "BTreeMap", "IndexMap", "HashSet", "BTreeSet", "IndexSet", "FrozenSet", "Set", "Map", "List", "Dict", "Tuple", "Sequence", "Iterator", "Iterable",
+    "list", "set", "tuple", "dict", "frozenset", "Collection", "ArrayList",
+}
 
 
 def _args(t: str) -> tuple[str, list[str]]:
