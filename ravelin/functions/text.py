@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a task description (fixed values).
-TASK_STOPWORDS = "the and for with that this from into how does what when where which all any get set use using via".split()
+TASK_STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "from", "into", "how", "does", "what", "when", "where", "which", "all", "any", "get", "set", "use", "using", "via",
+]
 #: Words a query variant must not end in (fixed values).
-DANGLING = "a an the of for to in on at by with from and or but as is are".split()
+DANGLING = ["a", "an", "the", "of", "for", "to", "in", "on", "at", "by", "with", "from", "and", "or", "but", "as", "is", "are"]
 
 
 def tokens(c: Column) -> Column:
@@ -34,9 +36,14 @@ def phrase_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), r"^ *(.*?) *$", " $1 ")
 
 
+def phrase_needle(phrase: str) -> str:
+    """A phrase in the form of ``phrase_text``."""
+    return " " + "  ".join(re.findall(r"[^\W_]+", phrase.lower())) + " "
+
+
 def phrase_count(c: Column, phrase: str) -> Column:
     """How often the tokens of ``phrase`` occur in a row in a text."""
-    p = " " + "  ".join(re.findall(r"[^\W_]+", phrase.lower())) + " "
+    p = phrase_needle(phrase)
     hay = phrase_text(c)
     return ((F.length(hay) - F.length(F.replace(hay, F.lit(p), F.lit("")))) / F.lit(len(p))).cast("bigint")
 

@@ -114,7 +114,7 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = cut(imported_files(imports, nodes.where("kind = 'file'").select(F.col("file_path").alias("path"))))
     to_file = F.col("language").isin("c", "cpp") & F.col("imported").isNotNull()
     strong = ~to_file & F.col("name").startswith(".")
-    landed = imports.join(pairs.select("file", F.col("module").alias("name"), "imported"), ["file", "name"], "left")
+    landed = imports.where("qualifier IS NOT NULL").join(pairs.select("file", F.col("module").alias("name"), "imported"), ["file", "name"], "left")
     by = F.when(to_file, "import").when(strong, "qualified-name").otherwise("exact-match")
     edges.append(
         landed.select(F.col("id").alias("source"), F.when(to_file, F.concat(F.lit("file:"), "imported")).otherwise(F.col("qualifier")).alias("target"), F.lit("imports").alias("kind"), resolution.metadata(F.when(strong, 0.95).otherwise(0.9), by).alias("metadata"), "line", "col")
@@ -130,19 +130,21 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges.append(j.select("source", "target", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), resolution.metadata(F.lit(how[0]) if how else F.col("confidence"), F.col("resolved_by")).alias("metadata"), "line", "col"))
 
     callable_, classes = defs(resolution.ALLOWED["calls"]), defs(resolution.ALLOWED["instantiates"])
-    calls = sites.where("ref_kind = 'calls'")
-    one = cut(resolution.names(calls, callable_, pairs))
-    edge(calls, one, "calls")
-    rest = calls.join(one.select("file", "language", "name"), ["file", "language", "name"], "left_anti").unionByName(sites.where("ref_kind = 'new'"))
-    edge(rest, resolution.names(rest, classes, pairs), "instantiates")
-    for ref in ("references", "strict", "extends", "implements"):
-        s = sites.where(F.col("ref_kind") == ref)
-        edge(s, resolution.names(s, defs(resolution.ALLOWED[ref]), pairs), "references" if ref == "strict" else ref)
-    # Where a language does not say which of the two it is, the target's kind does.
-    s = sites.where("ref_kind = 'inherits'")
-    auto = resolution.names(s, defs(resolution.ALLOWED["inherits"]), pairs).join(nodes.select("id", F.col("kind").alias("_kind")), "id")
-    f = auto.select("file", "language", "name", F.col("id").alias("target"), "confidence", "resolved_by", F.when(F.col("_kind").isin("interface", "trait"), "implements").otherwise("extends").alias("kind"))
-    edges.append(s.withColumnRenamed("id", "source").join(f, ["file", "language", "name"]).select("source", "target", "kind", resolution.metadata(F.col("confidence"), F.col("resolved_by")).alias("metadata"), "line", "col"))
+    # All references by name in one pass: a call is looked up as a call and as a construction.
+    wanted = F.expr("CASE ref_kind WHEN 'calls' THEN array('calls', 'instantiates') WHEN 'new' THEN array('instantiates') ELSE array(ref_kind) END")
+    named = sites.where(F.col("ref_kind").isin("calls", "new", "references", "strict", "extends", "implements", "inherits")).withColumn("ref", F.explode(wanted))
+    admits = F.create_map(*[x for k, v in resolution.ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    open_to = F.filter(F.map_keys(admits), lambda r: F.array_contains(F.element_at(admits, r), F.col("kind")))
+    every = nodes.withColumn("ref", F.explode(open_to)).select("ref", F.col("kind").alias("target_kind"), "id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
+    found = cut(resolution.names(named, every, pairs, ("ref",)))
+    kinds = nodes.select("id", F.col("kind").alias("_kind"))
+    hit = named.withColumnRenamed("id", "source").join(found.select("file", "language", "name", "ref", F.col("id").alias("target"), "confidence", "resolved_by"), ["file", "language", "name", "ref"])
+    # Calls come before constructions at one site; where a language does not say whether a type
+    # is extended or implemented, the target's kind does.
+    hit = hit.join(kinds.where("_kind IN ('interface', 'trait')").select(F.col("id").alias("target"), F.lit(True).alias("_abstract")), "target", "left")
+    kind = F.expr("CASE ref WHEN 'strict' THEN 'references' WHEN 'inherits' THEN if(_abstract, 'implements', 'extends') ELSE ref END")
+    best = hit.groupBy("source", "file", "name", "ref_kind", "line", "col").agg(F.min(F.struct("ref", kind.alias("kind"), "target", resolution.metadata(F.col("confidence"), F.col("resolved_by")).alias("metadata"))).alias("_b"))
+    edges.append(best.select("source", "_b.target", "_b.kind", "_b.metadata", "line", "col"))
     qual = sites.where("ref_kind = 'qualified'").withColumn("qualified_name", F.concat_ws("::", "qualifier", "name"))
     edge(qual, resolution.qualified(qual, defs(resolution.ALLOWED["qualified"]), pairs), "calls", "qualified_name", (0.95, "qualified-name"))
     met = sites.where("ref_kind = 'method'").withColumn("site", F.xxhash64("id", "name", "line", "col", "chain"))

@@ -67,9 +67,16 @@ def fuse(hits: DataFrame, group: list[str] | None = None) -> DataFrame:
 def anchor(fused: DataFrame, floor: float = 0.5, group: list[str] | None = None) -> DataFrame:
     """Scores scaled by how strongly the original query points to the hit's package."""
     g = group or []
+    if not g:
+        # Few packages: sums by package and their greatest, instead of windows over all hits.
+        each = fused.groupBy("package").agg(F.sum(F.when(F.col("from_original"), F.col("rrf")).otherwise(0.0)).alias("_strength"))
+        top = each.agg(F.max("_strength").alias("_top"))
+        out = fused.join(each, "package").crossJoin(F.broadcast(top))
+        share = F.when(F.col("_top") > 0, F.col("_strength") / F.col("_top")).otherwise(0.0)
+        return out.withColumn("rrf", F.round(F.col("rrf") * (floor + (1 - floor) * share), 9)).drop("_strength", "_top")
     w = Window.partitionBy(*g, "package")
     strength = F.sum(F.when(F.col("from_original"), F.col("rrf")).otherwise(0.0)).over(w)
-    top = F.max("_strength").over(Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0)))
+    top = F.max("_strength").over(Window.partitionBy(*g))
     out = fused.withColumn("_strength", strength)
     share = F.when(top > 0, F.col("_strength") / top).otherwise(0.0)
     return out.withColumn("rrf", F.round(F.col("rrf") * (floor + (1 - floor) * share), 9)).drop("_strength")
@@ -82,8 +89,25 @@ def pool(fused: DataFrame, size: int = POOL, group: list[str] | None = None) ->
     most = max(size // 3, 3)
     order = [F.desc("rrf"), "seq"]
     b = fused.where("from_original").withColumn("_b", F.row_number().over(Window.partitionBy(*g, "package", "origin").orderBy(*order)))
+    b = b.where(F.col("_b") <= most)
+    if not g:
+        b = b.orderBy(*order).limit(size)
     w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return b.where(F.col("_b") <= most).withColumn("pool_rank", F.row_number().over(w)).where(F.col("pool_rank") <= size).drop("_b")
+    return b.withColumn("pool_rank", F.row_number().over(w)).where(F.col("pool_rank") <= size).drop("_b")
+
+
+def pool_with_share(fused: DataFrame, size: int = POOL, share: float = 0.34) -> DataFrame:
+    """The pool when hits that only variants found may take a ``share`` of it.
+
+    Only the first hits of each package and origin can be taken, so the scan that counts
+    both limits sees few rows, in one task.
+    """
+    from ravelin.operators.answers import greedy_pool
+
+    most = max(size // 3, 3)
+    w = Window.partitionBy("package", "origin", "from_original").orderBy(F.desc("rrf"), "seq")
+    near = fused.withColumn("_b", F.row_number().over(w)).where(F.col("_b") <= most).drop("_b").withColumn("_one", F.lit(0))
+    return greedy_pool(near, "_one", size, share).drop("_one")
 
 
 def expand(hits: DataFrame, code: DataFrame) -> DataFrame:

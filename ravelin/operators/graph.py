@@ -53,16 +53,29 @@ def search_substring(nodes: DataFrame, needle: str, limit: int | None = None) ->
 PHRASE_FIELDS = ["id", "name", "qualified_name", "docstring", "signature"]
 
 
-def search_phrase(nodes: DataFrame, phrase: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def indexed(nodes: DataFrame) -> DataFrame:
+    """Nodes with their texts as tokens (``_text``, one for each field) and their length
+    (``_dl``): what a phrase search looks at.  Written once, it serves every search."""
+    texts = F.array(*[text.phrase_text(F.col(c)) for c in PHRASE_FIELDS])
+    n = nodes.withColumn("_text", texts)
+    words = F.aggregate("_text", F.lit(0), lambda a, t: a + F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), "  "))))
+    return n.withColumn("_dl", words)
+
+
+def search_phrase(nodes: DataFrame, phrase: str, k1: float = 1.2, b: float = 0.75, by: str | None = None) -> DataFrame:
     """Nodes with the phrase in a row in one of their texts, scored by BM25 over all texts
-    of a node: adds ``score``.  A blank phrase finds nothing."""
+    of a node: adds ``score``.  ``nodes`` may be ``indexed``.  With ``by`` the statistics are
+    those of each group.  A blank phrase finds nothing."""
+    n = nodes if "_text" in nodes.columns else indexed(nodes)
     if not phrase.strip():
-        return nodes.limit(0).withColumn("score", F.lit(0.0))
-    tf = sum((text.phrase_count(F.col(c), phrase) for c in PHRASE_FIELDS), F.lit(0).cast("bigint"))
-    dl = sum((F.size(text.tokens(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "_", " "))) for c in PHRASE_FIELDS), F.lit(0))
-    scored = nodes.withColumn("_tf", tf).withColumn("_dl", dl)
-    totals = scored.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"), F.sum((F.col("_tf") > 0).cast("long")).alias("_df"))
-    j = scored.where("_tf > 0").crossJoin(F.broadcast(totals))
+        return n.limit(0).withColumn("score", F.lit(0.0)).drop("_text", "_dl")
+    p = text.phrase_needle(phrase)
+    tf = F.aggregate("_text", F.lit(0).cast("bigint"), lambda a, t: a + ((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / F.lit(len(p))).cast("bigint"))
+    hit = n.withColumn("_tf", tf).where("_tf > 0").drop("_text")
+    g = [by] if by else []
+    totals = n.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"))
+    df = hit.groupBy(*g).agg(F.count(F.lit(1)).alias("_df"))
+    j = hit.join(totals, by).join(df, by) if by else hit.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(df))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     score = idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))
     return j.withColumn("score", F.round(score, 6)).drop("_tf", "_dl", "_n", "_avg", "_df")
@@ -73,12 +86,12 @@ def search(nodes: DataFrame, needle: str, kind: str | None = None, limit: int =
     if kind:
         nodes = nodes.where(F.col("kind") == kind)
     if not needle.strip():
-        return nodes.limit(0).withColumn("score", F.lit(0.0))
+        return nodes.limit(0).drop("_text", "_dl").withColumn("score", F.lit(0.0))
     order = [F.desc("score"), span(), "qualified_name", "id"]
     found = Cut(nodes.sparkSession, "search")(search_phrase(nodes, needle).orderBy(*order).limit(max(limit, 1)))
     if found.limit(1).count():
         return found.orderBy(*order)
-    return search_substring(nodes, needle, limit).withColumn("score", F.lit(0.0))
+    return search_substring(nodes, needle, limit).drop("_text", "_dl").withColumn("score", F.lit(0.0))
 
 
 def call_sites(nodes: DataFrame, edges: DataFrame, symbol: str, callers: bool = True) -> DataFrame:

@@ -1626,7 +1626,8 @@ class _Python(ast.NodeVisitor):
         if any(k in ("function", "method") for k in self.kinds) or module == "__future__":
             return
         i = self.node(n, "import", module, signature="\n".join(self.lines[n.lineno - 1 : n.end_lineno]).strip())
-        self.site("imports", module, n, source=f"file:{self.path}", qualifier=i)
+        # ``import x`` names a module but is no link to its node.
+        self.site("imports", module, n, source=f"file:{self.path}", qualifier=i if isinstance(n, ast.ImportFrom) else None)
 
     def visit_Import(self, n) -> None:
         self._import(n, n.names[0].name)
@@ -1696,5 +1697,5 @@ def extract(path: str, language: str, source: str) -> list[tuple]:
         # Top-level declarations belong to the package of the file.
         space = next((r[_AT["id"]] for r in rows if r[_AT["kind"]] == "namespace"), None)
         if space:
-            rows = [tuple(space if c == "parent" and r[0] == "node" and v == f"file:{path}" and r[_AT["kind"]] != "namespace" else v for c, v in zip(COLUMNS, r)) for r in rows]
+            rows = [tuple(space if c == "id" and r[_AT["ref_kind"]] == "imports" or c == "parent" and r[0] == "node" and v == f"file:{path}" and r[_AT["kind"]] != "namespace" else v for c, v in zip(COLUMNS, r)) for r in rows]
     return out + rows

@@ -28,34 +28,40 @@ def directory(c):
     return F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
 
 
-def names(sites: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+def names(sites: DataFrame, definitions: DataFrame, imports: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The definition each site (file, language, name) refers to by its name.
 
     Tiers: the same file; a file the site's file imports; the only definition in the
     site's language; the only one in its directory and language.  Sites without such a
     definition have no row.  ``definitions``: id, name, def_file, def_language,
-    qualified_name, of admissible kinds; ``imports``: distinct (file, imported).
+    qualified_name, of admissible kinds; ``imports``: distinct (file, imported).  ``extra``
+    columns of both tables must agree, so that several kinds of reference take one pass.
     """
-    keep = ["file", "language", "name"]
+    keep, e = ["file", "language", "name", *extra], list(extra)
     s = sites.select(*keep).distinct()
     one = F.struct("def_file", "qualified_name", "id")
-    by_file = definitions.groupBy(F.col("def_file").alias("_f"), F.col("name").alias("_m")).agg(F.min(one).alias("_d"))
-    by_lang = definitions.groupBy("def_language", "name").agg(F.min(one).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    by_dir = definitions.withColumn("_dir", directory(F.col("def_file"))).groupBy("_dir", "def_language", "name").agg(F.min(one).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    total = by_lang.groupBy("name").agg(F.sum("_n").alias("_g"))
-    first = s.join(by_file, (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_m"))).select(*keep, F.lit(1).alias("tier"), "_d")
+
+    def same(left: DataFrame, right: DataFrame, **pairs: str) -> DataFrame:
+        """Inner join on pairs of columns and the extra ones; the right side's are renamed."""
+        r = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
+        on = [F.col(a) == F.col(f"_r_{b}") for a, b in [*pairs.items(), *zip(e, e)]]
+        return left.join(r, on)
+
+    by_file = definitions.groupBy("def_file", "name", *e).agg(F.min(one).alias("d"))
+    by_lang = definitions.groupBy("def_language", "name", *e).agg(F.min(one).alias("d"), F.count(F.lit(1)).alias("n"))
+    by_dir = definitions.withColumn("dir", directory(F.col("def_file"))).groupBy("dir", "def_language", "name", *e).agg(F.min(one).alias("d"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    total = by_lang.groupBy("name", *e).agg(F.sum("n").alias("_g"))
     i = imports.select(F.col("file").alias("_if"), F.col("imported").alias("_id")).distinct()
-    far = s.join(i, F.col("file") == F.col("_if")).join(by_file, (F.col("_id") == F.col("_f")) & (F.col("name") == F.col("_m"))).select(*keep, F.lit(2).alias("tier"), "_d")
+    first = same(s, by_file, file="def_file", name="name").select(*keep, F.lit(1).alias("tier"), F.col("_r_d").alias("_d"))
+    far = same(s.join(i, F.col("file") == F.col("_if")), by_file, _id="def_file", name="name").select(*keep, F.lit(2).alias("tier"), F.col("_r_d").alias("_d"))
     # A name with one definition in the language is decided; others may be alone in a directory.
-    lang = by_lang.select(F.col("def_language").alias("_l"), F.col("name").alias("_m"), F.when(F.col("_n") == 1, F.col("_d")).alias("_d"))
-    any_ = s.join(lang, (F.col("language") == F.col("_l")) & (F.col("name") == F.col("_m"))).select(*keep, "_d")
+    any_ = same(s, by_lang, language="def_language", name="name").select(*keep, F.when(F.col("_r_n") == 1, F.col("_r_d")).alias("_d"))
     only = any_.where("_d IS NOT NULL").select(*keep, F.lit(3).alias("tier"), "_d")
     many = any_.where("_d IS NULL").select(*keep, directory(F.col("file")).alias("_dir"))
-    near = by_dir.where("_n = 1").select(F.col("_dir").alias("_e"), F.col("def_language").alias("_l"), F.col("name").alias("_m"), "_d")
-    beside = many.join(near, (F.col("_dir") == F.col("_e")) & (F.col("language") == F.col("_l")) & (F.col("name") == F.col("_m"))).select(*keep, F.lit(4).alias("tier"), "_d")
+    beside = same(many, by_dir, _dir="dir", language="def_language", name="name").select(*keep, F.lit(4).alias("tier"), F.col("_r_d").alias("_d"))
     found = first.unionByName(far).unionByName(only).unionByName(beside)
     best = found.groupBy(*keep).agg(F.min(F.struct("tier", "_d")).alias("_b")).select(*keep, "_b.tier", "_b._d.*")
-    best = best.join(total.select("name", "_g"), "name", "left")
+    best = best.join(total, ["name", *e], "left")
     confidence = F.when(F.col("tier") == 2, 0.9).when(F.col("tier") == 4, 0.5).when(F.col("_g") == 1, 0.9).otherwise(0.4)
     by = F.element_at(F.array(*[F.lit(x) for x in ("same-file", "import", "unique", "same-dir")]), F.col("tier"))
     return best.withColumn("confidence", confidence).withColumn("resolved_by", by).select(*keep, "tier", "def_file", "qualified_name", "id", "confidence", "resolved_by")

@@ -27,53 +27,65 @@ def compatible(metadata: DataFrame, model_id: str, dim: int) -> DataFrame:
     return metadata.where((F.col("model_id") == model_id) & (F.col("dim") == dim))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding", block: int = 512, by: str | None = None) -> DataFrame:
     """(query_id, key, cosine, rank): the ``k`` nearest vectors of every query, itself left out.
 
-    ``queries`` (query_id, query_vector) is a stated set, sent to the tasks in blocks; each
-    task keeps its best ``k`` per query, so what is shuffled does not grow with the table.
-    Ties go to the smaller key.  Vectors of another length or of length zero match nothing.
+    ``queries`` (query_id, query_vector) is a stated set, sent to the tasks in blocks of
+    ``block``; each task keeps its best ``k`` of every query over all its rows and gives them
+    out once, so what is shuffled grows with tasks and not with the table.  With ``by`` the
+    ``k`` nearest of every group are kept, and the group is in the result.  Ties go to the
+    smaller key.  Vectors of another length or of length zero match nothing.
     """
-    rows = queries.select("query_id", normalized(F.col("query_vector")).alias("v")).toLocalIterator()
+    spark = vectors.sparkSession
+    g = [by] if by else []
+    schema = ", ".join(f"`{c}` {dict(vectors.dtypes)[c]}" for c in g)
+    out_schema = f"query_id bigint, {schema + ', ' if schema else ''}`{key}` bigint, cosine double"
     out, held = None, []
 
-    def turn(held):
-        ids = np.array([r[0] for r in held], dtype=np.int64)
-        q = np.array([r[1] for r in held], dtype=np.float64)
-        kept = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    def turn(rows):
+        ids = np.array([r[0] for r in rows], dtype=np.int64)
+        kept = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], dtype=np.float64)))
 
         def run(batches):
             ids, q = kept.value
+            best: dict = {}
             for pdf in batches:
                 pdf = pdf[[x is not None and len(x) == q.shape[1] for x in pdf[column]]]
                 if pdf.empty:
                     continue
                 m = np.stack(pdf[column].to_numpy()).astype(np.float64)
                 n = np.linalg.norm(m, axis=1)
-                keys = pdf[key].to_numpy()[n > 0]
-                m = m[n > 0] / n[n > 0][:, None]
-                if not len(keys):
-                    continue
-                s = np.round(m @ q.T, 6)
-                for j, i in enumerate(ids):
-                    other = keys != i
-                    c, kk = s[other, j], keys[other]
-                    o = np.lexsort((kk, -c))[:k]
-                    yield pd.DataFrame({"query_id": i, key: kk[o], "cosine": c[o]})
-
-        return vectors.select(key, column).mapInPandas(run, f"query_id bigint, {key} bigint, cosine double")
-
-    for r in rows:
+                s = np.full((len(ids), len(m)), -np.inf)
+                s[:, n > 0] = np.round((m[n > 0] / n[n > 0][:, None] @ q.T).T, 6)
+                keys = pdf[key].to_numpy().astype(np.int64)
+                s[ids[:, None] == keys[None, :]] = -np.inf
+                groups = pdf[by].to_numpy() if by else np.zeros(len(m), dtype=np.int64)
+                for name in pd.unique(groups):
+                    own = groups == name
+                    c, kk = s[:, own], np.broadcast_to(keys[own], (len(ids), int(own.sum())))
+                    if name in best:
+                        c, kk = np.concatenate([best[name][0], c], axis=1), np.concatenate([best[name][1], kk], axis=1)
+                    # Sorted by key, then stably by cosine: ties stay with the smaller key.
+                    o = np.argsort(kk, axis=1, kind="stable")
+                    c, kk = np.take_along_axis(c, o, 1), np.take_along_axis(kk, o, 1)
+                    o = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                    best[name] = (np.take_along_axis(c, o, 1), np.take_along_axis(kk, o, 1))
+            for name, (c, kk) in best.items():
+                a, b = np.nonzero(np.isfinite(c))
+                frame = {"query_id": ids[a], **({by: name} if by else {}), key: kk[a, b], "cosine": c[a, b]}
+                yield pd.DataFrame(frame)
+
+        return vectors.select(*g, key, column).mapInPandas(run, out_schema)
+
+    for r in queries.select("query_id", normalized(F.col("query_vector")).alias("v")).toLocalIterator():
         held.append(r)
         if len(held) == block:
-            part = turn(held)
-            out, held = (part if out is None else out.unionByName(part)), []
-    if held or out is None:
-        if not held:
-            return vectors.sparkSession.createDataFrame([], f"query_id bigint, {key} bigint, cosine double, rank int")
-        part = turn(held)
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), key)
+            out, held = (turn(held) if out is None else out.unionByName(turn(held))), []
+    if held:
+        out = turn(held) if out is None else out.unionByName(turn(held))
+    if out is None:
+        return spark.createDataFrame([], out_schema + ", rank int")
+    w = Window.partitionBy("query_id", *g).orderBy(F.desc("cosine"), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

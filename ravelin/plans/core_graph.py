@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ravelin import schemas
 from ravelin.functions import text
 from ravelin.operators import graph, incremental, parity, resolution, storage, sync
+from ravelin.operators.skew import lookup_join
+from ravelin.session import Cut
 from ravelin.sources.tables import load
 
 #: The symbol and texts that the single-symbol queries ask for.
@@ -53,8 +55,9 @@ def symbol_phrase(spark, d):
 
 
 def symbol_search(spark, d):
-    """Phrase search that falls back to substrings; top 20."""
-    return graph.search(_nodes(spark, d), "obe", limit=20).select("id", "name", "score").unionByName(graph.search(_nodes(spark, d), "gauge", limit=20).select("id", "name", "score"))
+    """Phrase search that falls back to substrings; top 20 of two searches over one index."""
+    n = Cut(spark, "symbols")(graph.indexed(_nodes(spark, d)))
+    return graph.search(n, "obe", limit=20).select("id", "name", "score").unionByName(graph.search(n, "gauge", limit=20).select("id", "name", "score"))
 
 
 def callers(spark, d):
@@ -140,36 +143,47 @@ def sync_touched_files(spark, d):
     return sync.touched_files(_nodes(spark, d), _edges(spark, d), gone)
 
 
-def _sites(spark, d, kind):
-    n = _nodes(spark, d).select("id", "file_path", "language")
-    names = _all_nodes(spark, d).select(F.col("id").alias("tid"), "name", "qualified_name")
-    e = _edges(spark, d).where(F.col("kind") == kind)
-    return e.join(n, e["source"] == n["id"]).join(names, e["target"] == names["tid"]).select(F.col("file_path").alias("file"), "language", "name", "qualified_name")
+class _Graph:
+    """The current graph, written once for the stages of a query."""
 
+    def __init__(self, spark, d):
+        cut = Cut(spark, "graph")
+        self.nodes = cut(_all_nodes(spark, d))
+        self.edges = cut(_edges(spark, d))
+        # The runtime's functions are called but are no definitions of the packages.
+        self.own = self.nodes.join(load(spark, d, "stub_nodes").select("id"), "id", "left_anti")
 
-def _imports(spark, d):
-    n = _nodes(spark, d).select("id", "file_path")
-    a, b = n.select(F.col("id").alias("source"), F.col("file_path").alias("file")), n.select(F.col("id").alias("target"), F.col("file_path").alias("imported"))
-    return _edges(spark, d).where("kind = 'imports'").join(a, "source").join(b, "target").select("file", "imported").distinct()
+    def sites(self, kind):
+        e = self.edges.where(F.col("kind") == kind).select("source", "target")
+        n = self.own.select(F.col("id").alias("source"), F.col("file_path").alias("file"), "language")
+        names = self.nodes.select(F.col("id").alias("target"), "name", "qualified_name")
+        return lookup_join(e.join(n, "source"), names, "target", "target", "inner").select("file", "language", "name", "qualified_name").distinct()
 
+    def imports(self):
+        n = self.own.select("id", "file_path")
+        a, b = n.select(F.col("id").alias("source"), F.col("file_path").alias("file")), n.select(F.col("id").alias("target"), F.col("file_path").alias("imported"))
+        return self.edges.where("kind = 'imports'").join(a, "source").join(b, "target").select("file", "imported").distinct()
 
-def _definitions(spark, d, kinds):
-    n = _nodes(spark, d).where(F.col("kind").isin(kinds))
-    return n.select("id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
+    def definitions(self, kinds):
+        n = self.own.where(F.col("kind").isin(kinds))
+        return n.select("id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
 
 
 def resolve_names(spark, d):
-    """Call sites resolved by name, callables first and classes for the rest."""
-    sites, imports = _sites(spark, d, "calls"), _imports(spark, d)
-    one = resolution.names(sites, _definitions(spark, d, resolution.ALLOWED["calls"]), imports)
-    rest = sites.select("file", "language", "name").distinct().join(one, ["file", "language", "name"], "left_anti")
-    two = resolution.names(rest, _definitions(spark, d, resolution.ALLOWED["instantiates"]), imports)
-    out = one.withColumn("kind", F.lit("calls")).unionByName(two.withColumn("kind", F.lit("instantiates")))
-    return out.select("file", "language", "name", "id", "tier", F.round("confidence", 2).alias("confidence"), "kind")
+    """Call sites resolved by name, callables first and classes for the rest, in one pass."""
+    g = _Graph(spark, d)
+    sites = g.sites("calls").select("file", "language", "name").distinct()
+    both = sites.withColumn("ref", F.explode(F.array(F.lit("calls"), F.lit("instantiates"))))
+    defs = g.definitions(resolution.ALLOWED["calls"]).withColumn("ref", F.lit("calls")).unionByName(g.definitions(resolution.ALLOWED["instantiates"]).withColumn("ref", F.lit("instantiates")))
+    found = resolution.names(both, defs, g.imports(), ("ref",))
+    cols = ["id", "tier", "confidence"]
+    best = found.groupBy("file", "language", "name").agg(F.min(F.struct("ref", *cols)).alias("_b"))
+    return best.select("file", "language", "name", "_b.id", "_b.tier", F.round("_b.confidence", 2).alias("confidence"), F.col("_b.ref").alias("kind"))
 
 
 def _qualified(spark, d, strict):
-    return resolution.qualified(_sites(spark, d, "calls"), _definitions(spark, d, resolution.ALLOWED["qualified"]), _imports(spark, d), strict).select("file", "language", "qualified_name", "id", "tier", "candidates")
+    g = _Graph(spark, d)
+    return resolution.qualified(g.sites("calls"), g.definitions(resolution.ALLOWED["qualified"]), g.imports(), strict).select("file", "language", "qualified_name", "id", "tier", "candidates")
 
 
 def resolve_qualified(spark, d):
