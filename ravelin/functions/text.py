@@ -130,3 +130,23 @@ def clean_comment(c: Column) -> Column:
     marks = r"^\s*(?:/\*\*?|\*/|\*|///?|#+|\"\"\")\s?|\s*(?:\*/|\"\"\")\s*$"
     kept = F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(F.regexp_replace(x, marks, ""))), lambda x: x != "")
     return F.array_join(kept, "\n")
+
+
+def without_chunk(c: Column) -> Column:
+    """A stored document path without the number of its chunk (``a.md#3``)."""
+    return F.regexp_replace(c, r"#\d+$", "")
+
+
+def doc_path_matches(c: Column, wanted: str) -> Column:
+    """``path_matches`` for stored documents, whatever the number of their chunk."""
+    return path_matches(without_chunk(c), wanted)
+
+
+def forward(c: Column) -> Column:
+    """A path with forward slashes and none at its end."""
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "(?<=.)/+$", "")
+
+
+def components(c: Column) -> Column:
+    """The parts of a path, without empty ones and steps on the spot."""
+    return F.filter(F.split(forward(c), "/"), lambda x: (x != "") & (x != "."))

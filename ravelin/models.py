@@ -104,3 +104,57 @@ def yes_probability(yes_logprob: float, no_logprob: float) -> float:
 
     y, n = exp(yes_logprob), exp(no_logprob)
     return y / (y + n) if y + n else 0.0
+
+
+# ---- settings and choice of models
+
+
+@dataclass
+class ScorerSettings:
+    """Defaults of the second ranking stage (fixed values)."""
+
+    top_k: int = 20
+    output_n: int = 5
+
+
+@dataclass
+class ExpansionSettings:
+    """Defaults of query expansion (fixed values)."""
+
+    max_variants: int = 4
+    anchor_floor: float = 0.5
+    pool_fraction: float = 0.34
+    additive_only: bool = True
+
+
+#: Makers of embedders, scorers and expanders by provider and kind; more can be added.
+PROVIDERS: dict[tuple[str, str], object] = {
+    ("builtin", "embed"): HashEmbedder,
+    ("builtin", "score"): LexicalScorer,
+    ("builtin", "expand"): RuleExpander,
+}
+
+
+def make(kind: str, config: dict | None):
+    """The model a configuration names, or None: without one, a search goes on without it."""
+    if not config or not config.get("provider"):
+        return None
+    maker = PROVIDERS.get((config["provider"], kind))
+    if maker is None:
+        return None
+    return maker(**{k: v for k, v in config.items() if k != "provider"})
+
+
+def allowed_model(requested: str | None, catalog: list[str], default: str) -> str:
+    """The model a request may use: one of the catalog, or the default if none is named."""
+    if not requested:
+        return default
+    if requested not in catalog and requested != default:
+        raise ValueError(f"model {requested!r} is not one of: {', '.join(sorted({*catalog, default}))}")
+    return requested
+
+
+def candidate_text(hit: dict) -> str:
+    """What a scorer sees of a hit: kind, symbol and snippet."""
+    head = " ".join(x for x in (hit.get("kind"), hit.get("symbol")) if x)
+    return f"{head}: {hit.get('snippet') or ''}" if head else hit.get("snippet") or ""

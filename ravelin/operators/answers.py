@@ -104,3 +104,32 @@ def markdown(hits: DataFrame) -> DataFrame:
     sig = F.when(F.coalesce("signature", F.lit("")) != "", F.concat(F.lit("Signature: `"), "signature", F.lit("`")))
     body = F.concat(F.lit("```\n"), F.coalesce("snippet", F.lit("")), F.lit("\n```"))
     return hits.select("position", F.concat_ws("\n", title, F.concat(F.lit("`"), "package", F.lit("` "), place), sig, body).alias("text"))
+
+
+def with_bodies(found: DataFrame, code: DataFrame, order: list, most: int = BODY_BUDGET) -> DataFrame:
+    """Callers or callees with the bodies of those whose symbol is unique in its package.
+
+    ``found``: package, name, ... (one answer's few rows); ``code``: package, symbol, content.
+    Bodies are taken in ``order`` while they fit ``most`` bytes; the others stay without.
+    """
+    keys = found.select("package", F.col("name").alias("symbol")).distinct()
+    b = code.join(F.broadcast(keys), ["package", "symbol"], "left_semi").select("package", "symbol", "content").distinct()
+    one = b.groupBy("package", "symbol").agg(F.count(F.lit(1)).alias("_n"), F.max("content").alias("body")).where("_n = 1").drop("_n")
+    j = found.join(one.withColumnRenamed("symbol", "name"), ["package", "name"], "left")
+    j = j.withColumn("_order", F.row_number().over(Window.orderBy(*order))).withColumn("_one", F.lit(0))
+    w = within_budget(j, "_one", "_order", "body", most)
+    return w.withColumn("body", F.when(F.col("taken"), F.col("body"))).drop("_one", "taken").orderBy("_order").drop("_order")
+
+
+def nodes_json(nodes: DataFrame) -> DataFrame:
+    """One document ``{"nodes": [{"node": ...}]}`` of a context's nodes, in their order."""
+    cols = [c for c in nodes.columns if c != "position"]
+    body = F.struct(F.struct(*cols).alias("node"))
+    listed = nodes.agg(F.sort_array(F.collect_list(F.struct("position", body.alias("b")))).alias("_l"))
+    return listed.select(F.to_json(F.struct(F.transform("_l", lambda x: x["b"]).alias("nodes"))).alias("json"))
+
+
+def capped(findings: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` findings of each session."""
+    w = Window.partitionBy("session").orderBy("finding")
+    return findings.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")

@@ -211,7 +211,7 @@ KEYWORDS = {
     "trait": "trait", "impl": "impl", "type": "type", "mod": "module", "def": "function", "async def": "function", "class": "class", "function": "function",
     "function*": "function", "async function": "function", "interface": "interface", "func": "function", "record": "class",
 }
-MODIFIERS = ["pub(crate)", "pub(super)", "pub", "private", "protected", "public", "static", "abstract", "final", "override", "export default", "export", "extern", "inline", "virtual", "async"]
+MODIFIERS = ["pub(crate)", "pub(super)", "pub(in", "pub", "private", "protected", "public", "static", "abstract", "final", "override", "export default", "export", "extern", "inline", "virtual", "async"]
 _DEF = (
     r"^\s*(?:(?:" + "|".join(re.escape(m) for m in MODIFIERS) + r") )*("
     + "|".join(re.escape(k) for k in sorted(KEYWORDS, key=len, reverse=True)) + r") +([\p{L}_][\p{L}\p{N}_]*)"
@@ -237,28 +237,53 @@ COMMENT = r"^\s*(//|#(?!include|define)|/\*|\*|--|;|\"\"\")"
 SYMBOL_BYTES = 8_192
 
 
-def symbol_bodies(symbols: DataFrame, lines: DataFrame, reach: int = 40) -> DataFrame:
-    """(id, first_line, last_line, body): the lines of every symbol with the run of comment
-    lines right before it (one blank line may stand between).
+_COMMENT = re.compile(COMMENT)
 
-    ``symbols``: id, path, start_line, end_line; ``lines``: path, line, text.  The comment
-    run is the stretch above the symbol without a line that is neither comment nor blank,
-    at most ``reach`` lines.
+
+def around(lines: list[str], start: int, end: int) -> tuple[int, int]:
+    """First and last line (from 1) of a symbol with its comments: the run of comment lines
+    above it, in which one blank line may stand, and those right below it."""
+    first, k, blanks = start, start - 1, 0
+    while k > 0 and blanks < 2:
+        line = lines[k - 1]
+        if not line.strip():
+            blanks += 1
+        elif _COMMENT.match(line):
+            first = k
+        else:
+            break
+        k -= 1
+    last = end
+    while last < len(lines) and _COMMENT.match(lines[last]):
+        last += 1
+    return first, last
+
+
+def symbol_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, first_line, last_line, signature, body): the lines of every symbol with the
+    comments around it; ``signature`` is its first line of code.
+
+    ``symbols``: id, path, start_line, end_line; ``files``: path, content.  The symbols of a
+    file meet its text once, in one row.
     """
-    l = lines.select(F.col("path").alias("_p"), "line", "text")  # noqa: E741
-    j = symbols.join(l, (F.col("path") == F.col("_p")) & (F.col("line") >= F.col("start_line") - reach) & (F.col("line") <= F.col("end_line")))
-    before = F.col("line") < F.col("start_line")
-    comment, blank = F.col("text").rlike(COMMENT), F.trim("text") == ""
-    stop = F.max(F.when(before & ~comment & ~blank, F.col("line"))).over(Window.partitionBy("id"))
-    c = j.withColumn("_stop", F.coalesce(stop, F.lit(0)))
-    # Two blank lines in a row, or blanks not right above the symbol, end the run as well.
-    c = c.withColumn("_first", F.min(F.when(before & comment & (F.col("line") > F.col("_stop")), F.col("line"))).over(Window.partitionBy("id")))
-    gap = F.sum(F.when(before & blank & (F.col("line") > F.col("_stop")) & (F.col("line") > F.col("_first")), 1).otherwise(0)).over(Window.partitionBy("id"))
-    c = c.withColumn("_gap", gap)
-    start = F.when(F.col("_first").isNotNull() & (F.col("_gap") <= 1), F.col("_first")).otherwise(F.col("start_line"))
-    kept = c.withColumn("first_line", start).where(F.col("line") >= F.col("first_line"))
-    g = kept.groupBy("id", "first_line", F.col("end_line").alias("last_line")).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("_l"))
-    return g.select("id", "first_line", "last_line", F.array_join(F.transform("_l", lambda x: x["text"]), "\n").alias("body"))
+    at = symbols.groupBy("path").agg(F.collect_list(F.struct("id", "start_line", "end_line")).alias("_s"))
+    j = files.select("path", "content").where("content IS NOT NULL").join(at, "path").select("content", "_s")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for text_, found in zip(pdf["content"], pdf["_s"]):
+                lines = text_.replace("\r\n", "\n").split("\n")
+                for s in found:
+                    start, end = s["start_line"], min(s["end_line"], len(lines))
+                    if not 0 < start <= end:
+                        continue
+                    first, last = around(lines, start, end)
+                    code = next((x.strip() for x in lines[start - 1 : end] if x.strip()), "")
+                    rows.append((s["id"], first, last, code, "\n".join(lines[first - 1 : last])))
+            yield pd.DataFrame(rows, columns=["id", "first_line", "last_line", "signature", "body"])
+
+    return j.mapInPandas(run, "id string, first_line int, last_line int, signature string, body string")
 
 
 def long_bodies(bodies: DataFrame, most: int = SYMBOL_BYTES) -> DataFrame:

@@ -129,7 +129,7 @@ def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbol: str,
 
 
 def context(spark: SparkSession, nodes: DataFrame, edges: DataFrame, task: str, most: int = 40) -> DataFrame:
-    """Seeds that carry terms of a task and their neighbours up to two links away.
+    """The nodes whose texts hold terms of a task, and their neighbours up to two links away.
 
     Each round admits new ids in order of id until ``most`` are reached; the result is
     ordered by hop, weight of the kind and qualified name.
@@ -138,9 +138,7 @@ def context(spark: SparkSession, nodes: DataFrame, edges: DataFrame, task: str,
     terms = spark.range(1).select(text.significant(F.lit(task)).alias("t")).first()["t"]
     if not terms:
         return nodes.limit(0).withColumn("hop", F.lit(0))
-    hits = sum((F.lower("name").contains(t).cast("int") for t in terms), F.lit(0))
-    seeds = nodes.withColumn("_hits", hits).where("_hits > 0").orderBy(F.desc("_hits"), "id").limit(most)
-    seen = cut(seeds.select("id").withColumn("hop", F.lit(0)))
+    seen = cut(seeds(nodes, terms, most).select("id").withColumn("hop", F.lit(0)))
     links = edges.where(F.col("kind").isin(CONTEXT_KINDS)).select("source", "target")
     both = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
     known = nodes.select("id")
@@ -179,3 +177,37 @@ def without_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends exist: what is left after the deletion of nodes."""
     ids = nodes.select("id").distinct()
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def exact_first(found: DataFrame) -> DataFrame:
+    """Nodes of ``resolve_ids`` in order: by qualified name first, then the tightest."""
+    return found.orderBy(F.desc("exact"), span(), "qualified_name", "id")
+
+
+def seeds(nodes: DataFrame, terms: list[str], most: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``most`` nodes that hold any of the terms in their texts, by the sum of BM25; where
+    no text holds one, those whose name contains one.  Adds ``score``.  ``nodes`` may be
+    ``indexed``."""
+    n = nodes if "_text" in nodes.columns else indexed(nodes)
+
+    def count(term: str):
+        p = text.phrase_needle(term)
+        return F.aggregate("_text", F.lit(0).cast("bigint"), lambda a, t: a + ((F.length(t) - F.length(F.replace(t, F.lit(p), F.lit("")))) / F.lit(len(p))).cast("bigint"))
+
+    cut = Cut(nodes.sparkSession, "seeds")
+    hit = cut(n.select("id", "_dl", F.array(*map(count, terms)).alias("_tf")).where(F.exists("_tf", lambda x: x > 0)))
+    totals = n.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"))
+    df = hit.agg(F.array(*[F.sum((F.col("_tf")[i] > 0).cast("bigint")) for i in range(len(terms))]).alias("_df"))
+    j = hit.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(df))
+
+    def gain(i: int):
+        t, d = F.col("_tf")[i], F.col("_df")[i]
+        return F.when(t > 0, F.log(1 + (F.col("_n") - d + 0.5) / (d + 0.5)) * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("_dl") / F.col("_avg")))).otherwise(0.0)
+
+    cols = [c for c in nodes.columns if c not in ("_text", "_dl")]
+    best = j.select("id", F.round(sum((gain(i) for i in range(len(terms))), F.lit(0.0)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(most)
+    found = cut(nodes.select(*cols).join(F.broadcast(best), "id").select(*cols, "score"))
+    if found.limit(1).count():
+        return found
+    hits = sum((F.lower("name").contains(t).cast("int") for t in terms), F.lit(0))
+    return nodes.withColumn("_hits", hits).where("_hits > 0").orderBy(F.desc("_hits"), "id").limit(most).select(*cols, F.lit(0.0).alias("score"))

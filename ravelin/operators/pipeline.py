@@ -142,7 +142,7 @@ def hits(cut: Cut, t: Tables, runs: list[Run], fetch: int) -> DataFrame:
         found = lists[0]
         for x in lists[1:]:
             found = found.unionByName(x)
-        found = cut(found.withColumn("backend", F.lit(2 * backend)))
+        found = found.withColumn("backend", F.lit(2 * backend))
         # The hits are few: runs x packages x fetch; the table is read once more for their texts.
         cols = ["package", "path", "start_line", "end_line"]
         texts = table.withColumnRenamed(key, "key").join(found.select("key").distinct(), "key", "left_semi").select(
@@ -191,11 +191,11 @@ def search_all(spark: SparkSession, t: Tables, query: str, limit: int = 10, scop
         t = Tables(*[x.where(F.col("package").isin(names)) for x in (t.docs, t.code, t.nodes)], t.embed, t.stages)
     runs = plan(query, variants)
     fetch = max(s.top_k, limit, 20)
-    found = t.stages["hits"] = cut(hits(cut, t, runs, fetch))
+    found = t.stages["hits"] = hits(cut, t, runs, fetch)
     fused = fusion.fuse(found)
     if variants:
-        fused = fusion.anchor(fused, s.anchor_floor)
-    fused = t.stages["fused"] = cut(fused)
+        fused = fusion.anchor(cut(fused), s.anchor_floor)
+    t.stages["fused"] = fused
     pool = fusion.pool(fused, s.pool) if s.additive_only else fusion.pool_with_share(fused, s.pool, s.pool_fraction)
     pool = t.stages["pool"] = cut(pool)
     q = F.lit(query)

@@ -129,3 +129,65 @@ def sync_plan(wanted: DataFrame, lock: DataFrame, installed: DataFrame) -> DataF
         .when(target.isNotNull() & ~F.array_contains("_have", target), "update").otherwise("keep")
     )
     return j.select("name", action.alias("action"))
+
+
+def package_and_path(c):
+    """(namespace, rest) of a stored path: its first part and what follows."""
+    return F.struct(F.regexp_extract(c, r"^([^/]*)", 1).alias("namespace"), F.regexp_extract(c, r"^[^/]*/(.*)$", 1).alias("rest"))
+
+
+def real_paths(paths: DataFrame, roots: DataFrame, column: str = "path") -> DataFrame:
+    """Stored paths with the place they lie at: the root of the longest matching namespace.
+
+    ``roots``: namespace, root (few).  An empty namespace matches every path; without a match
+    the place is null.
+    """
+    r = roots.select(F.col("namespace").alias("_ns"), F.col("root").alias("_root"))
+    j = paths.join(F.broadcast(r), (F.col("_ns") == "") | F.col(column).startswith(F.concat("_ns", F.lit("/"))) | (F.col(column) == F.col("_ns")), "left")
+    rest = F.when(F.col("_ns") == "", F.col(column)).otherwise(F.expr(f"substring({column}, length(_ns) + 2)"))
+    place = F.when(F.col("_root").isNotNull(), F.concat(F.regexp_replace("_root", "/+$", ""), F.lit("/"), rest))
+    return j.groupBy(*paths.columns).agg(F.max_by(place, F.when(F.col("_root").isNotNull(), F.length("_ns"))).alias("place"))
+
+
+def index_path(name: str, local: DataFrame, bundles: DataFrame, part: str = "graph") -> str:
+    """Where the index of a package lies: the local package, then workspace, then global.
+
+    ``local``: name, folder; ``bundles``: name, version, scope, path.  An unknown package and
+    one without that part are different errors.
+    """
+    own = local.where(F.lower("name") == name.partition("@")[0].lower()).first()
+    if own is not None:
+        return f"{own['folder']}/{part}"
+    found = resolve_bundle(bundles, name).first()
+    if found is None:
+        raise LookupError(f"no package {name!r}")
+    if "parts" in found.asDict() and part not in (found["parts"] or []):
+        raise LookupError(f"package {name!r} has no {part}")
+    return f"{found['path']}/{part}"
+
+
+def valid_commits(df: DataFrame, column: str = "commit") -> DataFrame:
+    return df.withColumn("valid", F.coalesce(F.col(column).rlike(COMMIT), F.lit(False)))
+
+
+def layout_errors(entries: DataFrame, wanted: tuple[str, ...] = ("manifest.json", "graph/")) -> list[str]:
+    """What the entries (path) of an archive lack: files by name, folders by their beginning."""
+    tests = [F.max((F.col("path").startswith(w) if w.endswith("/") else F.col("path") == w).cast("int")).alias(w) for w in wanted]
+    got = entries.agg(*tests).first()
+    return [f"{w} is missing" for w in wanted if not got[w]]
+
+
+def belongs_to(dependencies: DataFrame, workspace: str) -> DataFrame:
+    """Dependencies (name, spec) on a local folder that is the workspace, holds it or lies in it."""
+    here = workspace.rstrip("/")
+    path = F.regexp_replace(F.regexp_replace("spec", "^(?:path|file):(?://)?", ""), "/+$", "")
+    local = F.col("spec").rlike("^(?:path:|file:|/|\\.)")
+    return dependencies.where(local & ((path == here) | path.startswith(here + "/") | F.lit(here + "/").startswith(F.concat(path, F.lit("/")))))
+
+
+def token_owner(tokens: DataFrame, token: str) -> str | None:
+    """The label of a token; only digests (hash, label) are stored."""
+    import hashlib
+
+    r = tokens.where(F.col("hash") == hashlib.sha256(token.encode()).hexdigest()).first()
+    return r["label"] if r else None

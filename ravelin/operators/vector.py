@@ -117,3 +117,26 @@ def embed_table(chunks: DataFrame, content: str, dim: int = 64, force: bool = Fa
     if column in chunks.columns and not force:
         return chunks.withColumn(column, F.coalesce(F.col(column), made))
     return chunks.withColumn(column, made)
+
+
+def stamped(chunks: DataFrame, content: str, model, force: bool = False, column: str = "vector") -> tuple[DataFrame, dict]:
+    """(table with vectors, what to note about them): model id, dimension and column.
+
+    ``model``: model_id, dim and embed_document (see ``models``); texts are embedded in
+    batches.  Vectors of another dimension than the model says are an error.
+    """
+    @F.pandas_udf("array<float>")
+    def embed(s: pd.Series) -> pd.Series:
+        out = [model.embed_document(t or "") for t in s]
+        if any(len(v) != model.dim for v in out):
+            raise ValueError(f"{model.model_id} gave vectors of another length than {model.dim}")
+        return pd.Series([np.asarray(v, dtype=np.float32).tolist() for v in out])
+
+    made = embed(F.col(content))
+    table = chunks.withColumn(column, F.coalesce(F.col(column), made)) if column in chunks.columns and not force else chunks.withColumn(column, made)
+    return table, {"embedding_model": model.model_id, "embedding_dim": model.dim, "vector_column": column}
+
+
+def to_embed(tables: DataFrame, model_id: str, dim: int, force: bool = False) -> DataFrame:
+    """Tables (name, model_id, dim) that have no vectors of this model yet; all if ``force``."""
+    return tables if force else tables.where(~(F.col("model_id").eqNullSafe(F.lit(model_id)) & F.col("dim").eqNullSafe(F.lit(dim))))

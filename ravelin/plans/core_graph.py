@@ -295,6 +295,19 @@ FROM (SELECT *, {tf} AS tf, {dl} AS dl FROM n) n, (SELECT count(*) AS c, avg(dl)
 WHERE tf > 0"""
 
 
+def _seed_sql(terms: list[str]) -> str:
+    """Scores of all nodes by the terms in their texts."""
+    def tf(t):
+        p = " " + "  ".join(t.replace("_", " ").split()) + " "
+        return " + ".join(f"(length({h}) - length(replace({h}, '{p}', ''))) // {len(p)}" for h in (_PHRASE.format(c=c) for c in _FIELDS))
+
+    dl = " + ".join("len(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'))".format(c=c) for c in _FIELDS)
+    tfs = ", ".join(f"{tf(t)} AS tf{i}" for i, t in enumerate(terms))
+    dfs = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(terms)))
+    gain = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (c - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / av)) ELSE 0.0 END" for i in range(len(terms)))
+    return f"st AS (SELECT id, {dl} AS dl, {tfs} FROM n), tt AS (SELECT count(*) AS c, avg(dl) AS av, {dfs} FROM st), sc AS (SELECT id, round({gain}, 6) AS score FROM st, tt)"
+
+
 def _search_sql(needle: str, tag: str) -> str:
     return f"""{tag}p AS ({_phrase_sql(needle)}),
 {tag}s AS (SELECT id, name, 0.0 AS score, end_line - start_line AS span, qualified_name FROM n WHERE (contains(lower(name), '{needle}') OR contains(lower(qualified_name), '{needle}')) AND NOT EXISTS (SELECT 1 FROM {tag}p)),
@@ -337,7 +350,6 @@ _RECALL = "sum(golden)::BIGINT AS golden, sum(ours)::BIGINT AS ours, sum(matched
 def oracle():
     named = f"(name = '{SYMBOL}' OR qualified_name = '{SYMBOL}')"
     terms = ["scheduler", "parse", "ledger", "drop", "socket"]
-    hits = " + ".join(f"(CASE WHEN contains(lower(name), '{t}') THEN 1 ELSE 0 END)" for t in terms)
     ext = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schemas.EXTENSIONS.items())
     call = lambda here, there, sym: f"""{_W} SELECT DISTINCT id, name, file_path, start_line FROM (
 SELECT v.id, v.name, v.file_path, v.start_line, e.line, e.col FROM e JOIN a v ON e.{there} = v.id WHERE e.kind = 'calls' AND e.{here} IN (SELECT id FROM a WHERE name = '{sym}' OR qualified_name = '{sym}')
@@ -354,7 +366,7 @@ ORDER BY v.file_path NULLS FIRST, v.start_line NULLS FIRST, v.id, e.line NULLS F
         "call_degrees": f"{_W} SELECT target, count(*) AS sites, count(DISTINCT source) AS callers FROM e WHERE kind = 'calls' GROUP BY target",
         "impact": f"""{_W}, r AS (SELECT id, 0 AS hop FROM a WHERE {named} UNION SELECT e.source, r.hop + 1 FROM r JOIN e ON e.target = r.id WHERE e.kind IN ('calls', 'references', 'imports') AND r.hop < 3)
 SELECT r.id, CAST(min(hop) AS INTEGER) AS hop FROM r JOIN a ON a.id = r.id WHERE NOT {named} GROUP BY r.id""",
-        "context": f"""{_W}, s0 AS (SELECT id, 0 AS hop FROM (SELECT id, {hits} AS h FROM n) WHERE h > 0 ORDER BY h DESC, id LIMIT 60),
+        "context": f"""{_W}, {_seed_sql(terms)}, s0 AS (SELECT id, 0 AS hop FROM sc WHERE score > 0 ORDER BY score DESC, id LIMIT 60),
 l AS (SELECT source AS x, target AS y FROM e WHERE kind IN ('calls', 'references', 'contains', 'imports') UNION SELECT target, source FROM e WHERE kind IN ('calls', 'references', 'contains', 'imports')),
 s1 AS (SELECT id, 1 AS hop FROM (SELECT DISTINCT l.y AS id FROM l JOIN s0 ON l.x = s0.id WHERE l.y IN (SELECT id FROM n) AND l.y NOT IN (SELECT id FROM s0)) QUALIFY row_number() OVER (ORDER BY id) <= 60 - (SELECT count(*) FROM s0)),
 s2 AS (SELECT id, 2 AS hop FROM (SELECT DISTINCT l.y AS id FROM l JOIN s1 ON l.x = s1.id WHERE l.y IN (SELECT id FROM n) AND l.y NOT IN (SELECT id FROM s0 UNION ALL SELECT id FROM s1)) QUALIFY row_number() OVER (ORDER BY id) <= 60 - (SELECT count(*) FROM s0) - (SELECT count(*) FROM s1))

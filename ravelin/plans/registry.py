@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["core_pipeline", "core_graph", "core_text", "core_rank", "core_store"]
+MODULES = ["core_pipeline", "core_graph", "core_text", "core_rank", "core_store", "core_cases"]
 
 
 def _modules():

@@ -116,3 +116,14 @@ def installed(spark: SparkSession, store: str, scope: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", MANIFEST).load(store)
     m = raw.select("path", F.from_json(F.col("content").cast("string"), "name string, version string, description string").alias("m"))
     return m.select("m.name", "m.version", "m.description", F.lit(scope).alias("scope"), F.regexp_replace("path", "/manifest\\.json$", "").alias("path"))
+
+
+def remove(store: str, name: str, version: str | None = None) -> int:
+    """Removes one version or all of a package; how many versions went."""
+    gone = 0
+    for entry in sorted(os.listdir(store)) if os.path.isdir(store) else []:
+        n, _, v = entry.partition("@")
+        if n.lower() == name.lower() and v and version in (None, v):
+            shutil.rmtree(os.path.join(store, entry))
+            gone += 1
+    return gone

@@ -94,3 +94,90 @@ class PackageList:
         with open(tmp, "w", encoding="utf-8") as f:
             json.dump(dict(sorted(self.rows.items())), f, indent=2)
         os.replace(tmp, self.path)
+
+
+def record_dependency(manifest: str, lock: str, name: str, source: dict, version: str, digest: str | None = None, group: str | None = None) -> None:
+    """Notes an installed package in manifest and lock.
+
+    ``source``: ``path`` of a local folder, or ``git`` with ``ref``, or neither for a registry.
+    """
+    set_dependency(manifest, name, {k: v for k, v in source.items() if v is not None} or version, group)
+    upsert_lock(lock, {"name": name, "version": version, "sha256": digest, **{k: v for k, v in source.items() if v is not None}})
+
+
+def local_source(spec: str, base: str = ".") -> str | None:
+    """The folder a spec names (``path:x``, ``file:x``, ``./x``, ``/x``), or None."""
+    for head in ("path:", "file://", "file:"):
+        if spec.startswith(head):
+            spec = spec[len(head) :]
+            break
+    else:
+        if not spec.startswith(("/", "./", "../", "~")) and spec not in (".", ".."):
+            return None
+    return os.path.normpath(os.path.join(base, os.path.expanduser(spec)))
+
+
+def git_state(folder: str) -> tuple[str | None, str | None]:
+    """(version, commit) of a checked-out folder, read from its files: the version is the tag
+    that points at the commit, without a leading v."""
+    git = os.path.join(folder, ".git")
+    if os.path.isfile(git):
+        git = os.path.normpath(os.path.join(folder, open(git, encoding="utf-8").read().partition(":")[2].strip()))
+    try:
+        head = open(os.path.join(git, "HEAD"), encoding="utf-8").read().strip()
+    except OSError:
+        return None, None
+    packed: dict[str, str] = {}
+    peeled: dict[str, str] = {}
+    try:
+        last = None
+        for line in open(os.path.join(git, "packed-refs"), encoding="utf-8"):
+            if line.startswith("^") and last:
+                peeled[last] = line[1:].strip()
+            elif line.strip() and not line.startswith("#"):
+                sha, last = line.split()[:2]
+                packed[last] = sha
+    except OSError:
+        pass
+
+    def ref(name: str) -> str | None:
+        try:
+            return open(os.path.join(git, *name.split("/")), encoding="utf-8").read().strip()
+        except OSError:
+            return packed.get(name)
+
+    sha = ref(head[5:]) if head.startswith("ref: ") else head
+    tags = {n: peeled.get(n, s) for n, s in packed.items() if n.startswith("refs/tags/")}
+    loose = os.path.join(git, "refs", "tags")
+    if os.path.isdir(loose):
+        tags |= {f"refs/tags/{n}": ref(f"refs/tags/{n}") for n in os.listdir(loose) if os.path.isfile(os.path.join(loose, n))}
+    named = sorted(n.rsplit("/", 1)[-1] for n, s in tags.items() if s == sha)
+    return (re.sub(r"^v(?=\d)", "", named[-1]) if named else None), sha
+
+
+def read_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, version, sha256, path) of a registry kept as a folder: ``index.json`` with the
+    versions of each package, archives beside it."""
+    index = json.load(open(os.path.join(folder, "index.json"), encoding="utf-8"))
+    rows = [(n, v, (p.get("checksums") or {}).get(v), os.path.join(folder, n, f"{n}-{v}.tar.gz")) for n, p in sorted(index.items()) for v in p.get("versions", [])]
+    return spark.createDataFrame(rows, "name string, version string, sha256 string, path string")
+
+
+class TableCache:
+    """Open tables by path; a path that was written again is opened again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.open: dict[str, DataFrame] = {}
+
+    def __call__(self, path: str) -> DataFrame:
+        if path not in self.open:
+            self.open[path] = self.spark.read.parquet(path)
+        return self.open[path]
+
+    def forget(self, path: str | None = None) -> None:
+        for p in [path] if path else list(self.open):
+            df = self.open.pop(p, None)
+            if df is not None:
+                df.unpersist()
+                self.spark.catalog.refreshByPath(p)

@@ -57,13 +57,31 @@ def build(spark: SparkSession, root: str, name: str, version: str, out: str, pac
     write_graph(nodes, edges, files.withColumn("package", F.lit(package)).withColumn("indexed_at", F.col("modified_at")).withColumn("errors", F.to_json("errors")), f"{work}/graph")
     docs = tree.docs(spark, root)
     d = chunking.chunk(docs, "path", "content").withColumn("package", F.lit(package))
-    schemas.conform(d, schemas.DOCS).coalesce(1).write.mode("overwrite").parquet(f"{work}/docs")
-    lines = chunking.line_rows(files.where("content IS NOT NULL"), ["path"], "content")
-    s = nodes.where(~F.col("kind").isin("file", "import")).select("id", F.col("file_path").alias("path"), "start_line", "end_line", "name", "kind", "signature")
-    bodies = chunking.symbol_bodies(s.select("id", "path", "start_line", "end_line"), lines)
-    code = chunking.long_bodies(bodies).join(s.drop("end_line"), "id").join(bodies.select("id", F.col("last_line").alias("end_line")), "id")
+    schemas.conform(d, schemas.DOCS).write.mode("overwrite").parquet(f"{work}/docs")
+    s = nodes.where(~F.col("kind").isin("file", "import") & F.col("start_line").isNotNull() & (F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line"))).select("id", F.col("file_path").alias("path"), "start_line", "end_line", "name", "kind", "signature")
+    bodies = chunking.symbol_bodies(s.select("id", "path", "start_line", "end_line"), files)
+    code = chunking.long_bodies(bodies).join(s.drop("end_line"), "id").join(bodies.select("id", F.col("last_line").alias("end_line"), F.col("signature").alias("_code")), "id").withColumn("signature", F.coalesce("signature", "_code"))
     c = code.select(F.lit(package).alias("package"), "path", F.when(F.col("part") > 0, F.concat_ws("#", "name", "part")).otherwise(F.col("name")).alias("symbol"), "kind", "signature", "content", "start_line", "end_line")
-    schemas.conform(c, schemas.CODE).coalesce(1).write.mode("overwrite").parquet(f"{work}/code")
+    schemas.conform(c, schemas.CODE).write.mode("overwrite").parquet(f"{work}/code")
     merge_metadata(f"{work}/docs.json", documents=docs.count(), chunks=d.count())
     merge_metadata(f"{work}/code.json", symbols=c.count())
     return archive.pack(work, {"name": name, "version": version}, out)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds rows to a chunk table."""
+    rows.write.mode("append").parquet(path)
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Puts a table, made from the one at ``path``, in its place: written beside it, then renamed."""
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    old, new, gone = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + x) for x in ("", ".new", ".old"))
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(str(new))
+    fs.delete(gone, True)
+    fs.rename(old, gone)
+    fs.rename(new, old)
+    fs.delete(gone, True)
+    spark.catalog.refreshByPath(path)

@@ -24,14 +24,21 @@ def test_build_and_read_back(spark, tmp_path):
 
 def test_symbol_bodies_and_parts(spark):
     text = "x = 1\n# one\n# two\n\ndef f():\n    pass\n\n# far\n\n\ndef g():\n    pass"
-    lines = chunking.line_rows(spark.createDataFrame([("a.py", text)], "path string, content string"), ["path"], "content")
+    files = spark.createDataFrame([("a.py", text), ("b.py", None)], "path string, content string")
     s = spark.createDataFrame([("f", "a.py", 5, 6), ("g", "a.py", 11, 12)], "id string, path string, start_line int, end_line int")
-    got = {r["id"]: (r["first_line"], r["body"]) for r in chunking.symbol_bodies(s, lines).collect()}
+    got = {r["id"]: (r["first_line"], r["body"]) for r in chunking.symbol_bodies(s, files).collect()}
     assert got == {"f": (2, "# one\n# two\n\ndef f():\n    pass"), "g": (11, "def g():\n    pass")}
-    parts = chunking.long_bodies(chunking.symbol_bodies(s, lines), 20).where("id = 'f'").orderBy("part").collect()
+    parts = chunking.long_bodies(chunking.symbol_bodies(s, files), 20).where("id = 'f'").orderBy("part").collect()
     assert "".join(r["content"] for r in parts) == got["f"][1] and all(len(r["content"]) <= 20 for r in parts)
 
 
+def test_comments_around_a_symbol():
+    long = ["# note"] * 60
+    assert chunking.around([*long, "def f():", "    pass", "# after", "", "# far"], 61, 62) == (1, 63)
+    assert chunking.around(["x = 1", "", "", "def f():"], 4, 4) == (4, 4)
+    assert chunking.around(["# a", "", "# b", "def f():"], 4, 4) == (1, 4)
+
+
 def test_written_index_scores_the_same(spark, tmp_path):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(["red red blue", "blue green", "", None, "red"])], "id int, t string")
     q = spark.createDataFrame([(1, "red blue"), (2, "none")], "query_id int, query_text string")
