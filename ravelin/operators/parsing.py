@@ -194,6 +194,7 @@ class Walk:
         self.package: str | None = None
         self.by_end = {n.line + n.text.count("\n"): n for n in self.notes if not self._shares_line(n)}
         self.marker: dict[int, str] = {}
+        self.directives = {t.line for t in self.t if t.first and t.text == "#"}
 
     def _shares_line(self, n: Token) -> bool:
         begin = self.text.rfind("\n", 0, n.at) + 1
@@ -307,7 +308,7 @@ class Walk:
             row(
                 row="node", path=self.path, language=self.lang, id=i, kind=kind, name=name, qualified_name=q, start_line=a.line, end_line=z.line + z.text.count("\n"), start_column=a.col,
                 end_column=z.col + len(z.text), docstring=self.doc(first) if doc and kind not in ("import", "enum_member") else None, signature=signature,
-                visibility=self.visibility(kind, mods, first), is_exported=more.get("exported", False), is_async=bool(mods & {"async", "suspend"}), is_static="static" in mods,
+                visibility=self.visibility(kind, mods, first), is_exported=more.get("exported", False), is_async=bool(mods & {"async", "suspend"}), is_static="static" in mods and self.lang not in ("c", "cpp"),
                 is_abstract="abstract" in mods, type_parameters=json.dumps(params) if params else None, parent=parent or self.owner(),
             )
         )
@@ -594,11 +595,9 @@ class Walk:
         params = [x.text for x in self.t[name_at + 2 : generics - 1] if x.kind == "w" and x.text not in ("extends", "in", "out", "class")] if generics > name_at + 1 else None
         k = generics
         while k < len(self.t) and not (self.t[k].text in ("{", ";", "}") and self.t[k].kind == "o"):
-            if self.t[k].text in "([" and self.t[k].kind == "o":
-                k = self.close(k)
-            k += 1
-            if self.lang in ("kotlin", "scala", "swift") and k < len(self.t) and self.t[k].first and not self.is_(k, "{", ":", ",", "extends", "with") and not self.is_(k - 1, ",", ":", "with", "extends"):
+            if self.lang in ("kotlin", "scala", "swift") and self.t[k].first and not self.is_(k, ":", ",", "extends", "with") and not self.is_(k - 1, ",", ":", "with", "extends"):
                 break
+            k = self.close(k) + 1 if self.t[k].text in "([" and self.t[k].kind == "o" else k + 1
         body = self.is_(k, "{")
         if need_body and not body:
             return None
@@ -1182,6 +1181,8 @@ def _c_function(w: Walk, i: int):
         head -= 2 if w.is_(head - 1, "::") else 1
     first = head
     while first > 0 and (w.t[first - 1].kind == "w" and w.t[first - 1].text not in ("else", "public", "private", "protected") or w.is_(first - 1, "*", "&", "::", ">", "<", ",")) and not w.is_(first - 1, ";", "}", "{"):
+        if w.t[first - 1].line in w.directives:
+            break
         if w.is_(first - 1, ",") and not any(w.is_(m, ">") for m in range(first, head)):
             break
         first -= 1

@@ -72,6 +72,71 @@ def extracted_links(spark, d):
     return j.select("kind", "from_name", "to_name", "line", F.get_json_object("metadata", "$.resolvedBy").alias("resolved_by"))
 
 
+#: What is in these sources, checked by reading them.
+SYMBOLS = [
+    ("c/util.c", "function", "half", 4, False, False), ("c/util.c", "function", "width", 8, False, False), ("c/util.c", "import", "stdio.h", 2, False, False),
+    ("c/util.c", "import", "util.h", 1, False, False), ("c/util.h", "enum", "Mode", 6, False, False), ("c/util.h", "enum_member", "Mode::READ", 6, False, False),
+    ("c/util.h", "enum_member", "Mode::WRITE", 6, False, False), ("c/util.h", "struct", "Buf", 3, False, False), ("c/util.h", "type_alias", "Size", 2, False, False),
+    ("cpp/a.cpp", "class", "Base", 3, False, False), ("cpp/a.cpp", "class", "Disc", 4, False, False), ("cpp/a.cpp", "function", "make", 12, False, False),
+    ("cpp/a.cpp", "function", "scale", 11, False, False), ("cpp/a.cpp", "import", "vector", 1, False, False), ("cpp/a.cpp", "method", "Disc::area", 8, False, False),
+    ("cs/A.cs", "class", "Base", 9, False, False), ("cs/A.cs", "class", "Car", 4, False, False), ("cs/A.cs", "class", "Tool", 10, False, True), ("cs/A.cs", "field", "Car::_n", 5, False, False),
+    ("cs/A.cs", "import", "System", 1, False, False), ("cs/A.cs", "interface", "IRun", 3, False, False), ("cs/A.cs", "method", "Car::Go", 7, False, False),
+    ("cs/A.cs", "method", "IRun::Go", 3, False, False), ("cs/A.cs", "method", "Tool::Fix", 10, False, True), ("cs/A.cs", "property", "Car::Speed", 6, False, False),
+    ("jv/Box.java", "class", "jv::Box", 9, False, False), ("jv/Box.java", "class", "jv::Lid", 5, False, False), ("jv/Box.java", "import", "jv::java.util.List", 3, False, False),
+    ("jv/Box.java", "method", "jv::Box::close", 15, False, False), ("jv/Box.java", "method", "jv::Box::open", 10, False, False), ("jv/Box.java", "method", "jv::Lid::turn", 6, False, True),
+    ("jv/Box.java", "namespace", "jv", 1, False, False), ("kt/A.kt", "class", "app.core::Base", 5, False, False), ("kt/A.kt", "class", "app.core::Job", 8, False, False),
+    ("kt/A.kt", "function", "app.core::start", 12, False, False), ("kt/A.kt", "import", "app.core::app.util.Log", 3, False, False), ("kt/A.kt", "interface", "app.core::Runs", 6, False, False),
+    ("kt/A.kt", "method", "app.core::Job::go", 9, True, False), ("kt/A.kt", "namespace", "app.core", 1, False, False), ("php/a.php", "class", "Job", 5, False, False),
+    ("php/a.php", "constant", "Job::MAX", 8, False, False), ("php/a.php", "field", "Job::n", 7, False, False), ("php/a.php", "import", "Lib\\Log", 2, False, False),
+    ("php/a.php", "interface", "Runs", 3, False, False), ("php/a.php", "method", "Job::go", 10, False, False), ("php/a.php", "method", "Job::make", 9, False, True),
+    ("php/a.php", "method", "Named::name", 4, False, False), ("php/a.php", "method", "Runs::go", 3, False, False), ("php/a.php", "trait", "Named", 4, False, False),
+    ("py/a.py", "class", "Job", 7, False, False), ("py/a.py", "function", "make", 19, False, False), ("py/a.py", "import", "b", 1, False, False), ("py/a.py", "import", "os", 2, False, False),
+    ("py/a.py", "method", "Job::__init__", 8, False, False), ("py/a.py", "method", "Job::go", 11, True, False), ("py/a.py", "method", "Job::stop", 15, False, False),
+    ("py/a.py", "variable", "LIMIT", 4, False, False), ("py/b.py", "class", "Tool", 1, False, False), ("py/b.py", "method", "Tool::use", 2, False, False),
+    ("rb/a.rb", "class", "Tools::Base", 4, False, False), ("rb/a.rb", "class", "Tools::Job", 7, False, False), ("rb/a.rb", "import", "json", 1, False, False),
+    ("rb/a.rb", "method", "Tools::Job::go", 8, False, False), ("rb/a.rb", "method", "Tools::Job::start", 15, False, False), ("rb/a.rb", "module", "Tools", 3, False, False),
+    ("sc/A.scala", "class", "Job", 4, False, False), ("sc/A.scala", "class", "Main", 9, False, False), ("sc/A.scala", "field", "Main::size", 10, False, False),
+    ("sc/A.scala", "function", "start", 12, False, False), ("sc/A.scala", "import", "scala", 2, False, False), ("sc/A.scala", "method", "Job::go", 5, False, False),
+    ("sc/A.scala", "trait", "Runs", 3, False, False), ("shop/cart.rs", "function", "all", 10, False, False), ("shop/cart.rs", "function", "run", 14, False, False),
+    ("shop/cart.rs", "method", "Cart::sum", 4, False, False), ("shop/cart.rs", "struct", "Cart", 1, False, False), ("shop/store.rs", "function", "load", 25, False, False),
+    ("shop/store.rs", "import", "crate", 1, False, False), ("shop/store.rs", "method", "Priced::price", 18, False, False), ("shop/store.rs", "method", "Store::open", 8, False, False),
+    ("shop/store.rs", "method", "Store::total", 12, False, False), ("shop/store.rs", "struct", "Store", 3, False, False), ("shop/store.rs", "trait", "Priced", 17, False, False),
+    ("svc/a.go", "function", "Format", 16, False, False), ("svc/a.go", "import", "fmt", 3, False, False), ("svc/a.go", "method", "Node::Show", 12, False, False),
+    ("svc/a.go", "struct", "Base", 10, False, False), ("svc/a.go", "struct", "Node", 5, False, False), ("sw/A.swift", "class", "Base", 3, False, False),
+    ("sw/A.swift", "class", "Job", 4, False, False), ("sw/A.swift", "enum", "Mode", 12, False, False), ("sw/A.swift", "enum_member", "Mode::off", 14, False, False),
+    ("sw/A.swift", "enum_member", "Mode::on", 13, False, False), ("sw/A.swift", "function", "make", 9, False, False), ("sw/A.swift", "import", "Foundation", 1, False, False),
+    ("sw/A.swift", "interface", "Runs", 2, False, False), ("sw/A.swift", "method", "Job::go", 5, False, False), ("web/base.ts", "class", "Base", 2, False, False),
+    ("web/base.ts", "class", "Disc", 3, False, False), ("web/base.ts", "function", "round", 7, False, False), ("web/base.ts", "interface", "Shape", 1, False, False),
+    ("web/base.ts", "method", "Disc::area", 5, False, False), ("web/base.ts", "method", "Disc::r", 4, False, False), ("web/main.ts", "function", "draw", 2, True, False),
+    ("web/main.ts", "import", "./base", 1, False, False),
+]
+LINKS = [
+    ("calls", "Car::Go", "Tool::Fix", 7, "qualified-name"), ("calls", "Cart::sum", "Store::open", 5, "qualified-name"), ("calls", "Cart::sum", "Store::total", 6, "instance-method"),
+    ("calls", "Disc::area", "round", 5, "same-file"), ("calls", "Disc::area", "scale", 9, "same-file"), ("calls", "Job::go", "Job::make", 10, "qualified-name"),
+    ("calls", "Job::go", "Job::stop", 13, "instance-method"), ("calls", "Job::go", "Tool::use", 12, "instance-method"), ("calls", "Job::go", "make", 6, "same-file"),
+    ("calls", "Job::go", "start", 6, "same-file"), ("calls", "Job::stop", "Tool::use", 16, "instance-method"), ("calls", "Job::stop", "make", 16, "same-file"),
+    ("calls", "Node::Show", "Format", 13, "same-file"), ("calls", "Store::open", "load", 9, "same-file"), ("calls", "Store::total", "Cart::sum", 13, "instance-method"),
+    ("calls", "Tools::Job::go", "Tools::Job::start", 9, "same-file"), ("calls", "app.core::Job::go", "app.core::start", 9, "same-file"), ("calls", "draw", "Disc::area", 4, "instance-method"),
+    ("calls", "draw", "Disc::area", 4, "instance-method"), ("calls", "draw", "round", 4, "import"), ("calls", "jv::Box::open", "jv::Box::close", 12, "same-file"),
+    ("calls", "jv::Box::open", "jv::Box::open", 12, "qualified-name"), ("calls", "jv::Box::open", "jv::Lid::turn", 12, "qualified-name"), ("calls", "make", "Disc::area", 12, "same-file"),
+    ("calls", "run", "Cart::sum", 16, "instance-method"), ("calls", "run", "all", 15, "same-file"), ("calls", "width", "half", 9, "same-file"), ("extends", "Car", "Base", 4, "same-file"),
+    ("extends", "Disc", "Base", 3, "same-file"), ("extends", "Disc", "Base", 4, "same-file"), ("extends", "Job", "Base", 4, "same-file"), ("extends", "Job", "Runs", 4, "same-file"),
+    ("extends", "Node", "Base", 6, "same-file"), ("extends", "Tools::Job", "Tools::Base", 7, "same-file"), ("extends", "app.core::Job", "app.core::Base", 8, "same-file"),
+    ("extends", "jv::Box", "jv::Lid", 9, "same-file"), ("implements", "Car", "IRun", 4, "same-file"), ("implements", "Disc", "Shape", 3, "same-file"), ("implements", "Job", "Named", 6, "same-file"),
+    ("implements", "Job", "Runs", 4, "same-file"), ("implements", "Job", "Runs", 5, "same-file"), ("implements", "Store", "Priced", 23, "same-file"),
+    ("implements", "app.core::Job", "app.core::Runs", 8, "same-file"), ("imports", "app.core", "app.core::app.util.Log", 3, "exact-match"), ("imports", "c/util.c", "c/util.h", 1, "import"),
+    ("imports", "c/util.c", "stdio.h", 2, "exact-match"), ("imports", "cpp/a.cpp", "vector", 1, "exact-match"), ("imports", "cs/A.cs", "System", 1, "exact-match"),
+    ("imports", "jv", "jv::java.util.List", 3, "exact-match"), ("imports", "php/a.php", "Lib\\Log", 2, "exact-match"), ("imports", "py/a.py", "b", 1, "exact-match"),
+    ("imports", "rb/a.rb", "json", 1, "exact-match"), ("imports", "sc/A.scala", "scala", 2, "exact-match"), ("imports", "shop/store.rs", "crate", 1, "exact-match"),
+    ("imports", "svc/a.go", "fmt", 3, "exact-match"), ("imports", "sw/A.swift", "Foundation", 1, "exact-match"), ("imports", "web/main.ts", "./base", 1, "qualified-name"),
+    ("instantiates", "Car::Go", "Car", 7, "same-file"), ("instantiates", "Job::make", "Job", 9, "same-file"), ("instantiates", "Tools::Job::go", "Tools::Job", 10, "same-file"),
+    ("instantiates", "draw", "Disc", 3, "import"), ("instantiates", "jv::Box::open", "jv::Box", 11, "same-file"), ("instantiates", "make", "Base", 10, "same-file"),
+    ("instantiates", "make", "Disc", 12, "same-file"), ("instantiates", "make", "Tool", 20, "import"), ("references", "Format", "Node", 16, "same-file"),
+    ("references", "Job::go", "Base", 5, "same-file"), ("references", "Node::Show", "Base", 12, "same-file"), ("references", "Store::open", "Store", 8, "same-file"),
+    ("references", "Tool::Fix", "Car", 10, "same-file"), ("references", "all", "Cart", 10, "same-file"), ("references", "draw", "Disc", 2, "import"),
+    ("references", "jv::Box::open", "jv::Box", 10, "same-file"), ("references", "load", "Store", 25, "same-file"), ("references", "make", "Base", 9, "same-file"),
+]
+
 # ---- receivers typed through return types
 
 _DEFS = [
@@ -239,6 +304,8 @@ def queries():
 def oracle():
     messages = _sql(_MESSAGES, "session, seq, role, call_id, tool, arguments, content")
     return {
+        "extracted_symbols": f"SELECT * FROM {_sql(SYMBOLS, 'file_path, kind, qualified_name, start_line, is_async, is_static')}",
+        "extracted_links": f"SELECT * FROM {_sql(LINKS, 'kind, from_name, to_name, line, resolved_by')}",
         "receiver_types": f"SELECT site, type FROM {_sql([(1, 'Db'), (2, 'Row'), (3, 'Row'), (5, 'Db'), (6, 'Row')], 'site, type')}",
         "return_type_cases": "SELECT id, \"full\", bare, element FROM " + _sql(
             [("0", "Vec<Pkg>", None, "Pkg"), ("1", "Scalar", "Scalar", None), ("2", "Foo | None", None, None), ("3", "HashMap<K, V>", None, "K"), ("4", "Db", "Db", None), ("7", "pkg.Thing[]", None, "Thing"), ("8", "Db", "Db", None)], "id, \"full\", bare, element"),
