@@ -1,24 +1,32 @@
 """Keyword-stuffed and link-list pages.
 
-Every page gets a suffix automaton over its content words.  The words covered by
-repeated maximal substrings, and words in lists, tags and links, count as piled up
-unless a clause with words of its own explains them.
+The content words of each page, as one text, are searched for maximal repeated substrings
+with the states of its suffix automaton.  A state is a class of substrings with the same
+occurrences; the classes of a text are the intervals of its suffix array in which neighbours
+share a prefix, and as arrays they are built for all pages of a batch at once.  Words covered
+by repeats, and words in lists, tags and links, count as piled up unless a clause with words
+of its own explains them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.batches import map_batches
 
-#: A substring counts as repeated from this many occurrences and words on.
-REPEATS, LEAST_LENGTH = 3, 2
-#: A single word counts as a repeated keyword from this share of the content words on.
-KEYWORD_SHARE, KEYWORD_COUNT = 0.12, 6
+#: A substring of this many characters counts as repeated from so many occurrences on.
+LONG, REPEATS = 14, 3
+#: A shorter one counts if all its occurrences hold this share of the page's characters; classes
+#: of occurrences in which that is looked at, and the least length.
+KEYWORD_SHARE, OCCURRENCES, SHORT = 0.12, (3, 5, 9, 17, 33, 65, 129), 4
+#: Characters of pages whose repeats are searched for at a time; a longer page is alone.
+GROUP = 1 << 17
+#: What counts as repeated within a mere phrase: two occurrences of so many characters.
+TWICE = 12
 #: Share of a clause's content words that must be its own.
 LEAST_OWN = 0.34
 #: A page needs so many piled-up words, and this share of all its words.
@@ -44,111 +52,169 @@ FUNCTION = frozenset(
 )
 
 
-def repeated(seq: list[int], times: int = REPEATS, least: int = LEAST_LENGTH) -> list[bool]:
-    """Which positions lie in a substring of at least ``least`` symbols that occurs at
-    least ``times`` times."""
-    return covers(seq, (times,), least)[0]
-
-
-def covers(seq: list[int], several: tuple[int, ...], least: int = LEAST_LENGTH) -> list[list[bool]]:
-    """``repeated`` for several numbers of times, from one suffix automaton with
-    occurrence counts."""
-    n = len(seq)
-    nxt: list[dict] = [{}]
-    link, length, count = [-1], [0], [0]
-    last = 0
-    ends = []
-    for c in seq:
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        count.append(1)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                count.append(0)
-                while p >= 0 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-        ends.append(cur)
-    for v in sorted(range(1, len(nxt)), key=length.__getitem__, reverse=True):
-        if link[v] > 0:
-            count[link[v]] += count[v]
-    # The longest repeated suffix at each prefix, found once a state; coverage runs
-    # leftwards from each end.
-    order = sorted(range(1, len(nxt)), key=length.__getitem__)
-    results = []
-    for times in several:
-        best = [0] * len(nxt)
-        for v in order:
-            best[v] = length[v] if count[v] >= times else best[link[v]]
-        out = [False] * n
-        reach = n
-        for i in range(n - 1, -1, -1):
-            k = best[ends[i]]
-            if k >= least and i - k + 1 < reach:
-                reach = i - k + 1
-            if i >= reach:
-                out[i] = True
-            if i == reach:
-                reach = n
-        results.append(out)
-    return results
+def suffixes(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes of all pages, sorted within their page, and how many
+    characters each shares with the next one of its page.
 
+    ``codes`` are numbers from 1 on, ``owner`` ascends.  Sorted by a prefix first; those that
+    are equal are told apart by the ranks of what follows, which doubles the prefix each round.
+    """
+    n = len(codes)
+    bits = max(int(codes.max()).bit_length(), 1)
+    width = max(1, (62 - int(owner[-1]).bit_length()) // bits)
+    key = owner.astype(np.int64)
+    for j in range(width):
+        part = np.zeros(n, dtype=np.int64)
+        if j < n:
+            part[: n - j] = np.where(owner[: n - j] == owner[j:], codes[j:], 0)
+        key = key << bits | part
+    order = np.argsort(key)
+    ends = np.searchsorted(owner, owner, side="right")
 
-def measure(text: str | None) -> tuple[int, int, int]:
-    """(words, piled-up words, characters covered by repeated substrings) of a page."""
-    if not text:
-        return 0, 0, 0
-    segments = []
-    for seg in _SEGMENT.split(text):
+    def named(sorted_key: np.ndarray) -> np.ndarray:
+        first = np.ones(len(sorted_key), dtype=bool)
+        first[1:] = sorted_key[1:] != sorted_key[:-1]
+        return first
+
+    first = named(key[order])
+    slot = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = slot
+    levels = [(width, rank.copy())]
+    length = width
+    while True:
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        at = np.flatnonzero(~alone)
+        if not len(at):
+            break
+        i = order[at]
+        nxt = np.where(i + length < ends[i], rank[np.minimum(i + length, n - 1)] + 1, 0)
+        pair = rank[i] * (n + 1) + nxt
+        o = np.argsort(pair)
+        order[at] = i[o]
+        fresh = named(pair[o])
+        first[at] = fresh
+        rank[order[at]] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        length *= 2
+        levels.append((length, rank.copy()))
+    a, b = order[:-1], order[1:]
+    off = np.zeros(max(n - 1, 0), dtype=np.int64)
+    same = owner[a] == owner[b]
+    for size, names in reversed(levels):
+        x, y = a + off, b + off
+        ok = same & (x < ends[a]) & (y < ends[b])
+        ok[ok] = names[x[ok]] == names[y[ok]]
+        off[ok] += size
+    going = same.copy()
+    for _ in range(width):
+        x, y = a + off, b + off
+        going &= (x < ends[a]) & (y < ends[b])
+        going[going] = codes[x[going]] == codes[y[going]]
+        off[going] += 1
+        if not going.any():
+            break
+    return order, off
+
+
+def longest(order: np.ndarray, common: np.ndarray, times: int) -> np.ndarray:
+    """For each position the length of the longest substring that begins there and occurs at
+    least ``times`` times in its page."""
+    n = len(order)
+    out = np.zeros(n, dtype=np.int64)
+    w = times - 1
+    if n <= w:
+        return out
+
+    def slide(x: np.ndarray, width: int, best) -> np.ndarray:
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            x = best(x[:-step], x[step:])
+            done += step
+        return x
+
+    least = slide(common, w, np.minimum)
+    # A suffix lies in all groups of neighbours that begin at most ``w`` before it.
+    padded = np.concatenate([np.zeros(w, dtype=np.int64), least, np.zeros(w, dtype=np.int64)])
+    out[order] = slide(padded, times, np.maximum)
+    return out
+
+
+def piles(pages: list[list[str]]) -> list[tuple[list[bool], list[bool], int]]:
+    """For the words of each page: whether repeats cover them, whether a second occurrence
+    does, and how many of the page's characters repeats cover."""
+    texts = [" ".join(p) for p in pages]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    if not sizes.sum():
+        return [([], [], 0) for _ in pages]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    _, codes = np.unique(chars, return_inverse=True)
+    codes = codes.astype(np.int64) + 1
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+    order, common = suffixes(codes, owner)
+    n = len(codes)
+    here = np.arange(n)
+
+    def covered(ok: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        return np.maximum.accumulate(np.where(ok, here + reach, 0)) > here
+
+    page = sizes[owner]
+    often = np.zeros(n, dtype=bool)
+    for k in OCCURRENCES:
+        reach = longest(order, common, k)
+        if not reach.any():
+            break
+        least = np.maximum(np.ceil(KEYWORD_SHARE * page / k), SHORT)
+        often |= covered(reach >= np.minimum(least, LONG) if k >= REPEATS else reach >= least, reach)
+    reach = longest(order, common, 2)
+    twice = covered(reach >= TWICE, reach)
+    starts = np.cumsum(sizes) - sizes
+    sums = [np.concatenate([[0], np.cumsum(c & (chars != 32))]) for c in (often, twice)]
+    out = []
+    for k, words in enumerate(pages):
+        if not words:
+            out.append(([], [], 0))
+            continue
+        lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        a = starts[k] + np.cumsum(lens + 1) - lens - 1
+        flags = [(2 * (c[a + lens] - c[a]) > lens).tolist() for c in sums]
+        out.append((*flags, int(sums[0][starts[k] + sizes[k]] - sums[0][starts[k]])))
+    return out
+
+
+def cut(text: str | None) -> tuple[list[tuple], list[str], list[int]]:
+    """(segments, content words, segment of each) of a page."""
+    segments, words_of, where = [], [], []
+    for seg in _SEGMENT.split(text or ""):
         if not seg or not seg.strip():
             continue
         urls = _URL.findall(seg)
         bare = _TAGGED.sub(" ", _URL.sub(" ", seg)) if urls or "<" in seg else seg
-        words = [w.lower() for w in _WORD.findall(bare)]
+        words = _WORD.findall(bare.lower())
         total = len(_WORD.findall(seg)) if urls or "<" in seg else len(words)
-        segments.append((seg, len(urls), words, total))
-    index: dict[str, int] = {}
-    seq, place = [], []
-    for k, (_, _, words, _) in enumerate(segments):
-        for w in words:
-            if w not in FUNCTION:
-                seq.append(index.setdefault(w.rstrip("s") or w, len(index)))
-                place.append((k, len(w)))
-    cover, twice = covers(seq, (REPEATS, 2))
-    freq = Counter(seq)
-    floor = max(KEYWORD_COUNT, KEYWORD_SHARE * len(seq))
-    content, own, once, chars = Counter(), Counter(), Counter(), 0
-    for (k, n), c, c2, s in zip(place, cover, twice, seq):
+        content = [w for w in words if w not in FUNCTION]
+        words_of += content
+        where += [len(segments)] * len(content)
+        segments.append((seg, len(urls), len(words), len(words) - len(content), total))
+    return segments, words_of, where
+
+
+def judge(segments: list[tuple], where: list[int], often: list[bool], twice: list[bool]) -> tuple[int, int]:
+    """(words, piled-up words) of a page whose repeated words are known."""
+    content, own, once = ([0] * len(segments) for _ in range(3))
+    for k, c, c2 in zip(where, often, twice):
         content[k] += 1
-        if c or freq[s] >= floor:
-            chars += n
-        else:
+        if not c:
             own[k] += 1
             once[k] += not c2
     all_words = piled = 0
-    for k, (seg, urls, words, total) in enumerate(segments):
+    for k, (seg, urls, n, function, total) in enumerate(segments):
         all_words += total
-        n = len(words)
         code = not urls and "<a " not in seg and bool(_CODE.search(seg))
         if code:
             continue
-        function = sum(w in FUNCTION for w in words)
-        hashes = len(_HASH.findall(seg))
+        hashes = len(_HASH.findall(seg)) if "#" in seg else 0
         items = max(seg.count(","), seg.count("|"), seg.count(";"), seg.count("/") - 3 * urls - 2 * (urls > 0))
         clause = function >= 2 and function >= 0.16 * n
         # A clause must have words of its own; in a mere phrase a second occurrence is enough
@@ -159,7 +225,25 @@ def measure(text: str | None) -> tuple[int, int, int]:
         listed = hashes >= 3 or (items >= 3 and items >= 0.2 * n and not clause) or (urls and not clause)
         if listed or (content[k] and mine < LEAST_OWN):
             piled += total
-    return all_words, piled, chars
+    return all_words, piled
+
+
+def measures(texts: list[str | None]) -> list[tuple[int, int, int]]:
+    """(words, piled-up words, characters covered by repeats) of each page."""
+    parts = [cut(t) for t in texts]
+    out = []
+    first, size = 0, 0
+    for k, (_, words, _) in enumerate(parts):
+        size += sum(map(len, words)) + len(words)
+        if size > GROUP or k == len(parts) - 1:
+            group = parts[first : k + 1]
+            out += [(*judge(s, w, o, t), c) for (s, _, w), (o, t, c) in zip(group, piles([p[1] for p in group]))]
+            first, size = k + 1, 0
+    return out
+
+
+def measure(text: str | None) -> tuple[int, int, int]:
+    return measures([text])[0]
 
 
 def pages(documents: DataFrame) -> DataFrame:
@@ -170,13 +254,9 @@ def pages(documents: DataFrame) -> DataFrame:
     """
 
     def run(doc_id, text) -> list:
-        known: dict = {}
-        rows = []
-        for t in text:
-            r = known.get(t)
-            if r is None:
-                r = known[t] = measure(t)
-            rows.append(r)
+        once = list(dict.fromkeys(text))
+        known = dict(zip(once, measures(once)))
+        rows = [known[t] for t in text]
         w, p, c = (list(x) for x in zip(*rows))
         return [doc_id, w, p, c, [b >= LEAST_WORDS and b > MOST_SHARE * a for a, b, _ in rows]]
 

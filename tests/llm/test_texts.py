@@ -123,20 +123,25 @@ def test_clean_text_keeps_structure():
     assert markup.kinds(out.replace("# ", "").replace("```", "")) in ([], ["html"], ["latex"], ["html", "latex"])
 
 
-def brute_cover(seq, times=3, least=2):
-    n, out = len(seq), [False] * len(seq)
-    for i in range(n):
-        for j in range(i + least, n + 1):
-            sub = seq[i:j]
-            if sum(seq[a : a + j - i] == sub for a in range(n - (j - i) + 1)) >= times:
-                out[i:j] = [True] * (j - i)
-    return out
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=24))
-def test_suffix_automaton_cover(seq):
-    assert stuffing.repeated(seq) == brute_cover(seq)
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abc"), max_size=24), min_size=1, max_size=4), st.integers(2, 6))
+def test_longest_repeats(pages, times):
+    if not any(pages):
+        return
+    codes = np.array([ord(c) - 96 for p in pages for c in p])
+    got = stuffing.longest(*stuffing.suffixes(codes, np.repeat(np.arange(len(pages)), [len(p) for p in pages])), times).tolist()
+    want = [max((n for n in range(1, len(p) - i + 1) if sum(p.startswith(p[i : i + n], j) for j in range(len(p))) >= times), default=0) for p in pages for i in range(len(p))]
+    assert got == want
+
+
+def test_keywords_within_other_words_are_repeats():
+    rnd = random.Random(2)
+    part = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(2))
+    pile = " ".join(part()[:2] + "kettle" if k % 2 else "kettle" + part() for k in range(60))
+    w, piled, chars = stuffing.measure(pile)
+    assert piled == w == 60 and chars >= 60 * len("kettle")
+    mixed = " ".join(part() + part() + part() for _ in range(60))
+    assert stuffing.measure(mixed)[1] == 0
 
 
 def test_stuffed_pages(spark):
