@@ -34,6 +34,15 @@ def parent_links(edges: DataFrame, kind: str | None = "contains", source: str =
     )
 
 
+def dropped_links(edges: DataFrame, kind: str | None = "contains", source: str = "source", target: str = "target", kind_col: str = "kind") -> DataFrame:
+    """(node, parent, kept): the links that ``parent_links`` leaves out because their node has
+    a smaller parent, with the one that was kept."""
+    e = edges if kind is None else edges.where(F.lower(F.trim(F.col(kind_col))) == kind)
+    every = e.select(F.col(target).alias("node"), F.col(source).alias("parent")).where(F.col("node").isNotNull() & F.col("parent").isNotNull())
+    several = every.groupBy("node").agg(F.min("parent").alias("kept"), F.max("parent").alias("_most")).where("kept <> _most").drop("_most")
+    return every.join(several, "node").where("parent <> kept").distinct().select("node", "parent", "kept")
+
+
 def resolve(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, root, depth) for every node of ``links`` that has a parent.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravelin.operators.skew import lookup_join
+
 
 def classify(disk: DataFrame, known: DataFrame) -> DataFrame:
     """(path, state): added, changed, deleted or same, by checksum.  One row per path each."""
@@ -33,7 +35,8 @@ def touched_files(nodes: DataFrame, edges: DataFrame, gone: DataFrame, fresh_nam
     e = edges.where("kind <> 'contains'").select("source", "target").distinct()
     src = n.select(F.col("id").alias("source"), F.col("file_path").alias("file")).join(g, F.col("file") == g["_gone"], "left_anti")
     tgt = n.select(F.col("id").alias("target"), F.col("file_path").alias("_tf"), F.col("name").alias("_tn"))
-    j = e.join(src, "source").join(tgt, "target")
+    # A function of a shared runtime may be the target of a tenth of all edges.
+    j = lookup_join(e.join(src, "source"), tgt, "target", "target", "inner")
     by_file = j.join(g, j["_tf"] == g["_gone"], "left_semi").select("file")
     by_name = j.join(delta.withColumnRenamed("name", "_tn"), "_tn", "left_semi").select("file")
     return by_file.unionByName(by_name).distinct()

@@ -216,7 +216,8 @@ def parity_edges(spark, d):
     """Edges of the first pass against those of the second, by names at both ends."""
     n = _all_nodes(spark, d).select("id", "qualified_name")
     e = load(spark, d, "edges").where("metadata IS NULL OR NOT contains(metadata, 'synthesizedBy')").select("source", "target", F.lower(F.trim("kind")).alias("kind"), "provenance")
-    j = e.join(n.select(F.col("id").alias("source"), F.col("qualified_name").alias("from_name")), "source").join(n.select(F.col("id").alias("target"), F.col("qualified_name").alias("to_name")), "target")
+    j = e.join(n.select(F.col("id").alias("source"), F.col("qualified_name").alias("from_name")), "source")
+    j = lookup_join(j, n.select(F.col("id").alias("target"), F.col("qualified_name").alias("to_name")), "target", "target", "inner")
     m = parity.bag_match(j.where("provenance IS NULL"), j.where("provenance = 'second-pass'"), ["kind", "from_name", "to_name"])
     return parity.recall(m, ["kind"])
 

@@ -25,6 +25,11 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("node").alias("id"), F.col("root").alias("root_id"), "depth", F.array_join("path", " > ").alias("path"))
 
 
+def p2_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Links left out because their node has another parent."""
+    return hierarchy.dropped_links(load(spark, d, "edges").select("source", "target", "kind"))
+
+
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every node, one row per pair."""
     return hierarchy.descendants(hierarchy.paths(spark, _links(spark, d)))
@@ -52,7 +57,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p5_found)}
+    return {f.__name__: f for f in (p2_found, p2_paths, p2_dropped, p2_descendants, p5_found)}
 
 
 _TREE = """
@@ -86,6 +91,11 @@ UNION ALL
 SELECT node AS id, root AS root_id, CAST(-1 AS INTEGER) AS depth FROM low
 """,
         "p2_paths": _TREE + "SELECT node AS id, root AS root_id, CAST(depth AS INTEGER) AS depth, path FROM tree",
+        "p2_dropped": """
+WITH e AS (SELECT DISTINCT target AS node, source AS parent FROM edges WHERE lower(trim(kind)) = 'contains' AND source IS NOT NULL AND target IS NOT NULL),
+k AS (SELECT node, min(parent) AS kept FROM e GROUP BY node)
+SELECT e.node, e.parent, k.kept FROM e JOIN k USING (node) WHERE e.parent <> k.kept
+""",
         "p2_descendants": """
 WITH RECURSIVE links AS (
   SELECT target AS node, min(source) AS parent FROM edges

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +32,17 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, name: str = "ra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Where that setting is absent, a local session (tests on one machine) gets a temporary
+    folder that goes when the process ends; on a cluster it is an error, as executors could
+    not see such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ravelin-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ravelin-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -43,16 +51,30 @@ class Cut:
     """Tables written to the shared folder in place of long lineages.
 
     ``cut(df)`` writes ``df`` once and returns a scan of the written table, so a lost
-    executor costs a re-read and not a re-computation of every earlier round.
+    executor costs a re-read and not a re-computation of every earlier round.  Results are
+    lazy and read these tables, so they stay until ``clear`` or the end of the session.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append(self.root)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+_ROOTS: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables of all cuts so far, once their results have been read or written."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _ROOTS:
+        path = jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone

@@ -56,3 +56,8 @@ def test_hot_parent_is_salted(spark):
     got = skew.lookup_join(left, right, "k", "rk", least=100, salts=8)
     assert got.count() == 3000 and skew.hot_keys(left, "k", least=100)[0] == "hot"
     assert got.columns == ["id", "k", "n"]
+
+
+def test_links_to_further_parents_are_reported(spark):
+    e = spark.createDataFrame([("a", "x", "contains"), ("b", "x", "CONTAINS "), ("a", "y", "contains"), ("c", "x", "calls"), (None, "x", "contains"), ("b", "x", "contains")], "source string, target string, kind string")
+    assert [tuple(r) for r in hierarchy.dropped_links(e).collect()] == [("x", "b", "a")]
