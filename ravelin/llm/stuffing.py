@@ -62,14 +62,29 @@ def suffixes(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(codes)
     bits = max(int(codes.max()).bit_length(), 1)
     width = max(1, (62 - int(owner[-1]).bit_length()) // bits)
-    key = owner.astype(np.int64)
-    for j in range(width):
-        part = np.zeros(n, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    left = ends - np.arange(n)
+
+    def after(x: np.ndarray, j: int) -> np.ndarray:
+        """What stands ``j`` places on in the page, else 0."""
+        out = np.zeros(n, dtype=np.int64)
         if j < n:
-            part[: n - j] = np.where(owner[: n - j] == owner[j:], codes[j:], 0)
-        key = key << bits | part
+            out[: n - j] = x[j:]
+            out[left <= j] = 0
+        return out
+
+    # The first ``width`` characters as one number, put together from powers of two.
+    key, have, power, size = owner.astype(np.int64), 0, codes.astype(np.int64), 1
+    while True:
+        if width & size:
+            key = key << (bits * size) | (after(power, have) if have else power)
+            have += size
+        if size * 2 > width:
+            break
+        power = power << (bits * size) | after(power, size)
+        size *= 2
     order = np.argsort(key)
-    ends = np.searchsorted(owner, owner, side="right")
 
     def named(sorted_key: np.ndarray) -> np.ndarray:
         first = np.ones(len(sorted_key), dtype=bool)
@@ -89,7 +104,7 @@ def suffixes(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if not len(at):
             break
         i = order[at]
-        nxt = np.where(i + length < ends[i], rank[np.minimum(i + length, n - 1)] + 1, 0)
+        nxt = np.where(length < left[i], rank[np.minimum(i + length, n - 1)] + 1, 0)
         pair = rank[i] * (n + 1) + nxt
         o = np.argsort(pair)
         order[at] = i[o]
@@ -106,14 +121,15 @@ def suffixes(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
         ok = same & (x < ends[a]) & (y < ends[b])
         ok[ok] = names[x[ok]] == names[y[ok]]
         off[ok] += size
-    going = same.copy()
-    for _ in range(width):
-        x, y = a + off, b + off
-        going &= (x < ends[a]) & (y < ends[b])
-        going[going] = codes[x[going]] == codes[y[going]]
-        off[going] += 1
-        if not going.any():
-            break
+    # The rest is shorter than a prefix: where the two prefixes begin to differ.
+    at = np.flatnonzero(same)
+    x, y = a[at] + off[at], b[at] + off[at]
+    inside = (x < ends[a[at]]) & (y < ends[b[at]])
+    at, x, y = at[inside], x[inside], y[inside]
+    differ = key[x] ^ key[y]
+    high = differ >> 31
+    length_of = np.where(high > 0, 31 + np.frexp(high.astype(np.float64))[1], np.frexp((differ & 0x7FFFFFFF).astype(np.float64))[1])
+    off[at] += np.minimum((bits * width - length_of) // bits, width)
     return order, off
 
 
@@ -211,19 +227,18 @@ def judge(segments: list[tuple], where: list[int], often: list[bool], twice: lis
     all_words = piled = 0
     for k, (seg, urls, n, function, total) in enumerate(segments):
         all_words += total
-        code = not urls and "<a " not in seg and bool(_CODE.search(seg))
-        if code:
-            continue
-        hashes = len(_HASH.findall(seg)) if "#" in seg else 0
-        items = max(seg.count(","), seg.count("|"), seg.count(";"), seg.count("/") - 3 * urls - 2 * (urls > 0))
         clause = function >= 2 and function >= 0.16 * n
         # A clause must have words of its own; in a mere phrase a second occurrence is enough
         # to make a word a repeated one.
         mine = (own if clause else once)[k] / content[k] if content[k] else 1.0
         if clause and mine >= LEAST_OWN:
             continue
-        listed = hashes >= 3 or (items >= 3 and items >= 0.2 * n and not clause) or (urls and not clause)
-        if listed or (content[k] and mine < LEAST_OWN):
+        if not (content[k] and mine < LEAST_OWN):
+            hashes = len(_HASH.findall(seg)) if "#" in seg else 0
+            items = max(seg.count(","), seg.count("|"), seg.count(";"), seg.count("/") - 3 * urls - 2 * (urls > 0))
+            if not (hashes >= 3 or (items >= 3 and items >= 0.2 * n and not clause) or (urls and not clause)):
+                continue
+        if urls or "<a " in seg or not _CODE.search(seg):
             piled += total
     return all_words, piled
 
