@@ -1680,6 +1680,44 @@ class _Python(ast.NodeVisitor):
     visit_For = visit_AsyncFor = _for
 
 
+_PY_DEF = re.compile(r"^([ \t]*)(async[ \t]+def|def|class)[ \t]+([^\W\d]\w*)")
+_PY_IMPORT = re.compile(r"^(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([.\w]+))")
+
+
+def _python_lines(path: str, source: str) -> list[tuple]:
+    """Definitions and imports of a Python text that does not parse, by line and indent."""
+    lines = source.split("\n")
+    rows: list[dict] = []
+    open_: list[tuple[int, dict]] = []
+
+    def close(indent: int, last: int) -> None:
+        while open_ and open_[-1][0] >= indent:
+            row_ = open_.pop()[1]
+            while last > row_["start_line"] and not lines[last - 1].strip():
+                last -= 1
+            row_["end_line"], row_["end_column"] = last, len(lines[last - 1])
+
+    for n, line in enumerate(lines, 1):
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        close(indent, n - 1)
+        m, i = _PY_DEF.match(line), _PY_IMPORT.match(line)
+        if m:
+            inside = [r for _, r in open_ if r["kind"] == "class"]
+            kind = "class" if m.group(2) == "class" else "method" if inside else "function"
+            q = "::".join([*(r["name"] for r in inside), m.group(3)])
+            row_ = dict(row="node", path=path, language="python", id=node_id(kind, q, path, n, indent), kind=kind, name=m.group(3), qualified_name=q, start_line=n, start_column=indent, parent=open_[-1][1]["id"] if open_ else f"file:{path}", is_exported=False, is_async=m.group(2).startswith("async"), is_static=False, is_abstract=False)
+            rows.append(row_)
+            open_.append((indent, row_))
+        elif i and (i.group(1) or i.group(2)) != "__future__":
+            name = i.group(1) or i.group(2)
+            rows.append(dict(row="node", path=path, language="python", id=node_id("import", name, path, n, 0), kind="import", name=name, qualified_name=name, start_line=n, end_line=n, start_column=0, end_column=len(line), signature=line.strip(), parent=f"file:{path}", is_exported=False, is_async=False, is_static=False, is_abstract=False))
+            rows.append(dict(row="site", path=path, language="python", id=f"file:{path}", name=name, ref_kind="imports", qualifier=rows[-1]["id"] if i.group(1) else None, line=n, col=0))
+    close(0, len(lines))
+    return [row(**r) for r in rows]
+
+
 def extract(path: str, language: str, source: str) -> list[tuple]:
     """All rows of a file: its own node first, definitions, further containment, references."""
     end = source.count("\n") + 1
@@ -1689,8 +1727,8 @@ def extract(path: str, language: str, source: str) -> list[tuple]:
             v = _Python(path, source)
             v.visit(ast.parse(source))
             return out + v.rows
-        except (SyntaxError, ValueError, RecursionError):
-            return out
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return out + _python_lines(path, source)
     if language not in RULES:
         return out
     rows = Walk(path, language, source).run()

@@ -53,6 +53,7 @@ def test_resolution_tiers(spark):
     assert got == {("x/a.py", "go"): ("1", "same-file"), ("x/z.py", "go"): ("2", "import"), ("q.py", "only"): ("3", "unique"), ("x/q.py", "near"): ("4", "same-dir")}
 
 
+_KIND = 4
 FILES = [
     ("pkg/a.py", "python", "import pkg.b\n\nclass A:\n    def go(self):\n        return self.stop()\n\n    def stop(self):\n        return helper()\n"),
     ("pkg/b.py", "python", '"""Doc."""\n\ndef helper(x=1) -> int:\n    """Helps."""\n    return x\n'),
@@ -61,6 +62,18 @@ FILES = [
 ]
 
 
+def test_texts_that_do_not_parse_keep_their_definitions():
+    from ravelin.operators import parsing
+
+    text = "from a import b\n\nclass A:\n    def go(self):\n        x = (\n\n    async def stop(self):\n        pass\n\ndef f(:\n    pass\n"
+    rows = [dict(zip(parsing.COLUMNS, r)) for r in parsing.extract("p.py", "python", text)]
+    got = {(r["kind"], r["qualified_name"], r["start_line"], r["end_line"], r["is_async"]) for r in rows if r["row"] == "node" and r["kind"] != "file"}
+    assert got == {("import", "a", 1, 1, False), ("class", "A", 3, 8, False), ("method", "A::go", 4, 5, False), ("method", "A::stop", 7, 8, True), ("function", "f", 10, 11, False)}
+    for lang in parsing.RULES:
+        for broken in ("", "}", "{{{", "class", "fn (", "func (", "\x00'", '"', "impl for {", "def", "type", "import", "#", "#include", "enum E {", "use ;", "package", "@", "<", "a::b::", "namespace", "x.y.(", "const", "var x", "case", "fun A.", "struct S"):
+            assert parsing.extract("p", lang, broken)[0][_KIND] == "file"
+
+
 def test_extraction_and_resolution(spark):
     f = spark.createDataFrame(FILES, "path string, language string, content string")
     n, e = extraction.build(f)
