@@ -202,10 +202,12 @@ def piles(pages: list[list[str]]) -> list[tuple[list[bool], list[bool], int]]:
 def cut(text: str | None) -> tuple[list[tuple], list[str], list[int]]:
     """(segments, content words, segment of each) of a page."""
     segments, words_of, where = [], [], []
-    for seg in _SEGMENT.split(text or ""):
+    text = text or ""
+    linked = "://" in text or "www." in text.lower()
+    for seg in _SEGMENT.split(text):
         if not seg or not seg.strip():
             continue
-        urls = _URL.findall(seg)
+        urls = _URL.findall(seg) if linked else ()
         bare = _TAGGED.sub(" ", _URL.sub(" ", seg)) if urls or "<" in seg else seg
         words = _WORD.findall(bare.lower())
         total = len(_WORD.findall(seg)) if urls or "<" in seg else len(words)
