@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sqlite3
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -54,3 +55,45 @@ class SqliteReader(DataSourceReader):
         cols = ", ".join(f'"{f.name}"' for f in self.schema)
         with _open(self.path) as c:
             yield from c.execute(f'SELECT {cols} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.lo, partition.hi))
+
+
+#: Tables of a graph file and their keys (fixed values).
+_DDL = {
+    "schema_versions": "version INTEGER PRIMARY KEY",
+    "nodes": "id TEXT PRIMARY KEY, kind TEXT, name TEXT, qualified_name TEXT, file_path TEXT, language TEXT, start_line INTEGER, end_line INTEGER, start_column INTEGER, end_column INTEGER, docstring TEXT, signature TEXT, visibility TEXT, "
+    "is_exported INTEGER, is_async INTEGER, is_static INTEGER, is_abstract INTEGER, decorators TEXT, type_parameters TEXT, updated_at INTEGER",
+    "edges": "id INTEGER PRIMARY KEY, source TEXT REFERENCES nodes(id) ON DELETE CASCADE, target TEXT REFERENCES nodes(id) ON DELETE CASCADE, kind TEXT, metadata TEXT, line INTEGER, col INTEGER, provenance TEXT",
+    "files": "path TEXT PRIMARY KEY, content_hash TEXT, language TEXT, size INTEGER, modified_at INTEGER, indexed_at INTEGER, node_count INTEGER, errors TEXT",
+}
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, files: DataFrame, path: str, block: int = 1_000) -> None:
+    """Writes the graph of one package as an SQLite file: the first node of an id, every edge,
+    the last file of a path, versions and statistics.
+
+    Rows come to the driver one partition at a time and are written in blocks; such a file
+    holds one package, the tables of many stay Parquet.
+    """
+    con = sqlite3.connect(path)
+    try:
+        con.execute("PRAGMA foreign_keys = OFF")
+        for t, ddl in _DDL.items():
+            con.execute(f"DROP TABLE IF EXISTS {t}")
+            con.execute(f"CREATE TABLE {t} ({ddl})")
+        con.executemany("INSERT INTO schema_versions VALUES (?)", [(1,), (4,)])
+        for t, df, how in (("nodes", nodes, "IGNORE"), ("edges", edges, "ABORT"), ("files", files, "REPLACE")):
+            cols = [c.split()[0] for c in _DDL[t].split(", ") if c.split()[0] in df.columns and not (t == "edges" and c.startswith("id "))]
+            sql = f"INSERT OR {how} INTO {t} ({', '.join(cols)}) VALUES ({', '.join('?' * len(cols))})"
+            held: list[tuple] = []
+            for r in df.select(*cols).toLocalIterator():
+                held.append(tuple(int(v) if isinstance(v, bool) else v for v in r))
+                if len(held) == block:
+                    con.executemany(sql, held)
+                    held = []
+            con.executemany(sql, held)
+        con.execute("CREATE INDEX edges_by_source ON edges(source, kind)")
+        con.execute("CREATE INDEX edges_by_target ON edges(target, kind)")
+        con.execute("ANALYZE")
+        con.commit()
+    finally:
+        con.close()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.functions import text
-from ravelin.operators import chunking, graph, search
+from ravelin.operators import answers, chunking, graph, pipeline, reports, search
 from ravelin.plans import core_rank
 from ravelin.sources.tables import load
 
@@ -58,6 +58,18 @@ def get_impact(c: Catalog, symbol: str, depth: int = 3) -> DataFrame:
     return graph.impact(c.spark, c.nodes, c.edges, symbol, depth)
 
 
+def callers_with_bodies(c: Catalog, symbol: str, limit: int = 20, callers: bool = True) -> DataFrame:
+    """Callers (or callees) with the stored bodies of those whose name is unique in its package."""
+    found = graph.callers(c.nodes, c.edges, symbol, limit, callers=callers).join(c.nodes.select("id", "package"), "id", "left")
+    return answers.with_bodies(found, c.table("symbol_sources").select("package", "symbol", "content"), ["file_path", "start_line", "id"])
+
+
+def files_text(c: Catalog, pattern: str | None = None, limit: int = 200) -> str:
+    """The list of files for reading, with what the limit leaves out."""
+    every = graph.files(c.nodes, pattern)
+    return reports.listing([r[0] for r in every.orderBy("file_path").limit(limit).collect()], every.count(), limit, pattern)
+
+
 def list_files(c: Catalog, pattern: str | None = None, limit: int = 200) -> DataFrame:
     return graph.files(c.nodes, pattern).orderBy("file_path").limit(limit)
 
@@ -90,10 +102,13 @@ def docs_metadata(c: Catalog) -> DataFrame:
 
 
 def read_symbol(c: Catalog, symbol: str) -> DataFrame:
-    """Bodies of a symbol with ``status``: unique or ambiguous; no row if there is none."""
+    """Bodies of a symbol with ``status``: unique, or ambiguous where several places define it,
+    then without bodies; no row if there is none."""
     s = c.table("symbol_sources").where(F.col("symbol") == symbol).dropDuplicates(["symbol_id"])
     n = s.agg(F.count(F.lit(1)).alias("_n"))
-    return s.crossJoin(F.broadcast(n)).withColumn("status", F.when(F.col("_n") == 1, "unique").otherwise("ambiguous")).drop("_n")
+    one = F.col("_n") == 1
+    out = s.crossJoin(F.broadcast(n)).withColumn("status", F.when(one, "unique").otherwise("ambiguous"))
+    return out.withColumn("content", F.when(one, F.col("content"))).drop("_n")
 
 
 def read_code(c: Catalog, path: str, line: int) -> DataFrame:
@@ -104,8 +119,9 @@ def read_code(c: Catalog, path: str, line: int) -> DataFrame:
     return e.join(body, ["path", "start_line"], "left")
 
 
-def query(c: Catalog, words: str, limit: int = 10) -> DataFrame:
-    return core_rank.flagship(c.spark, c.root, words, limit)
+def query(c: Catalog, words: str, limit: int = 10, scope: str | None = None, variants: list[tuple[str, str]] = (), settings: pipeline.Settings | None = None) -> DataFrame:
+    """The whole search; ``variants`` from an expander, ``settings`` for one without a scorer."""
+    return pipeline.search_all(c.spark, core_rank.tables(c.spark, c.root), words, limit, scope, variants, settings)
 
 
 TOOLS = {f.__name__: f for f in (list_packages, search_symbols, get_context, get_callers, get_callees, get_impact, list_files, search_docs, read_docs, docs_metadata, search_code, read_symbol, read_code, query)}

@@ -137,3 +137,31 @@ def test_seeds_fall_back_to_names(spark):
     assert sorted(r["id"] for r in graph.seeds(n, ["header"], 10).collect()) == ["1", "2"]
     assert [r["id"] for r in graph.seeds(n, ["eader"], 10).collect()] == ["1", "3"]
     assert [r["id"] for r in graph.exact_first(graph.resolve_ids(n.withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2)), "other")).collect()] == ["2"]
+
+
+def test_graph_file(spark, tmp_path):
+    import sqlite3
+
+    from ravelin.sources import sqlite
+
+    n = spark.createDataFrame([("a", "function", "f", True), ("b", "class", "K", False), ("a", "function", "f", True)], "id string, kind string, name string, is_async boolean").coalesce(1)
+    e = spark.createDataFrame([("a", "b", "calls", 1), ("a", "b", "calls", 1)], "source string, target string, kind string, line int")
+    f = spark.createDataFrame([("x.py", "1"), ("x.py", "2")], "path string, content_hash string").coalesce(1)
+    p = str(tmp_path / "g.db")
+    for _ in range(2):
+        sqlite.export_graph(n, e, f, p, block=2)
+    with sqlite3.connect(p) as c:
+        count = lambda t: c.execute(f"SELECT count(*) FROM {t}").fetchone()[0]
+        assert [count(t) for t in ("nodes", "edges", "files", "schema_versions")] == [2, 2, 1, 2]
+        assert c.execute("SELECT is_async FROM nodes WHERE id = 'a'").fetchone() == (1,) and c.execute("SELECT content_hash FROM files").fetchone() == ("2",)
+    c.close()
+
+
+def test_tools_over_tables(spark, data):
+    from ravelin import tools
+
+    c = tools.Catalog(spark, data)
+    assert tools.files_text(c, "*.py", 2).count("\n") == 2 and "more" in tools.files_text(c, "*.py", 2)
+    assert tools.callers_with_bodies(c, "nothing").count() == 0
+    with pytest.raises(pipeline.UnknownScope):
+        tools.query(c, "lock", scope="no such package")
