@@ -296,6 +296,18 @@ FROM (SELECT *, {tf} AS tf, {dl} AS dl FROM n) n, (SELECT count(*) AS c, avg(dl)
 WHERE tf > 0"""
 
 
+def _node_ids_sql() -> str:
+    def digits(column: str) -> str:
+        return f"lpad(to_hex(coalesce({column}, 0)), 8, '0')"
+
+    def little(x: str) -> str:
+        return f"from_hex(substr({x}, 7, 2) || substr({x}, 5, 2) || substr({x}, 3, 2) || substr({x}, 1, 2))"
+
+    raw = f"encode(qualified_name) || from_hex('00') || encode(file_path) || from_hex('00') || {little('hl')} || from_hex('00') || {little('hc')}"
+    return f"""WITH {_N}, h AS (SELECT *, {digits('start_line')} AS hl, {digits('start_column')} AS hc FROM n)
+SELECT id, CASE WHEN kind = 'file' THEN 'file:' || file_path ELSE kind || ':' || substr(sha256({raw}), 1, 32) END AS made FROM h"""
+
+
 def _seed_sql(terms: list[str]) -> str:
     """Scores of all nodes by the terms in their texts."""
     def tf(t):
@@ -360,6 +372,7 @@ ORDER BY v.file_path NULLS FIRST, v.start_line NULLS FIRST, v.id, e.line NULLS F
         "graph_status_by_kind": f"{_W} SELECT kind, language, count(*) AS n, CAST(grouping(kind, language) AS INTEGER) AS level FROM n GROUP BY GROUPING SETS ((kind, language), (kind), (language), ())",
         "symbol_lookup": f"{_W} SELECT id, name, qualified_name, kind, file_path, start_line, qualified_name = '{SYMBOL}' AS exact FROM a WHERE {named}",
         "symbol_substring": f"{_W} SELECT id, name, qualified_name, kind, file_path, start_line FROM n WHERE contains(lower(name), '{NEEDLE}') OR contains(lower(qualified_name), '{NEEDLE}')",
+        "node_ids": _node_ids_sql(),
         "symbol_phrase": f"WITH {_N} SELECT id, name, score FROM ({_phrase_sql(PHRASE.split()[1])})",
         "symbol_search": f"WITH {_N}, {_search_sql("obe", "x")}, {_search_sql('gauge', 'y')} SELECT * FROM x UNION ALL SELECT * FROM y",
         "callers": call("target", "source", SYMBOL),

@@ -233,6 +233,14 @@ SELECT query_text, array_to_string(list_filter(l, lambda t, i: list_position(l,
         "vec_knn_label": f"SELECT query_id, label, votes FROM (SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS rn FROM ({knn}) JOIN embeddings USING (vec_id) GROUP BY query_id, label) WHERE rn = 1",
         "vec_compatible": "SELECT label, CAST(max(len(embedding)) AS INTEGER) AS dim, count(*) AS vectors FROM embeddings GROUP BY label HAVING max(len(embedding)) = 64 AND label % 2 = 1",
         "content_hashes": "SELECT path, sha256(content) AS made, lower(content_hash) = sha256(content) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC) AS rn FROM file_scans) WHERE rn = 1 AND content IS NOT NULL",
+        "kwic_windows": """WITH RECURSIVE c AS (SELECT DISTINCT symbol_id, content AS bt FROM symbol_sources WHERE content IS NOT NULL),
+ls AS (SELECT symbol_id, strlen(bt) AS total, len(string_split(bt, chr(10))) AS cnt, unnest(string_split(bt, chr(10))) AS ln, generate_subscripts(string_split(bt, chr(10)), 1) AS i FROM c),
+le AS (SELECT *, least(total, sum(strlen(ln) + 1) OVER (PARTITION BY symbol_id ORDER BY i)) AS e FROM ls),
+lb AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY symbol_id ORDER BY i), 0) AS s FROM le),
+tr AS (SELECT a.symbol_id, a.s, a.total, coalesce(min(CASE WHEN b.e > a.s + 1500 THEN b.e END), a.total) AS stop, coalesce(min(CASE WHEN b.e > a.s + 750 THEN b.e END), a.total) AS nxt FROM lb a JOIN lb b USING (symbol_id) WHERE a.total > 1500 GROUP BY a.symbol_id, a.s, a.total),
+wn AS (SELECT symbol_id, 0 AS idx, 0::HUGEINT AS s FROM lb WHERE i = 1 UNION ALL SELECT w.symbol_id, w.idx + 1, t.nxt FROM wn w JOIN tr t ON t.symbol_id = w.symbol_id AND t.s = w.s WHERE t.stop < t.total AND t.nxt > w.s)
+SELECT w.symbol_id, w.idx AS window_index, string_agg(l.ln || CASE WHEN l.i < l.cnt THEN chr(10) ELSE '' END, '' ORDER BY l.i) AS "window" FROM wn w LEFT JOIN tr t ON t.symbol_id = w.symbol_id AND t.s = w.s
+JOIN lb l ON l.symbol_id = w.symbol_id AND l.s >= w.s AND l.e <= coalesce(t.stop, l.total) GROUP BY ALL""",
         "line_scanner_symbols": f"""WITH s AS (SELECT path, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seen_at DESC, received_at DESC) AS rn FROM file_scans) WHERE rn = 1 AND content IS NOT NULL),
 ls AS (SELECT path, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS line FROM (SELECT path, {body} AS l FROM s)), la AS (SELECT path, max(line) AS last FROM ls GROUP BY path),
 h AS (SELECT path, line, regexp_extract(text, $re${rx}$re$, 1) AS k, regexp_extract(text, $re${rx}$re$, 2) AS symbol FROM ls WHERE regexp_matches(text, $re${rx}$re$))
