@@ -97,9 +97,12 @@ def imported_files(sites: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("file", "module", "imported").unionByName(by_name)
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build(files: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a set of files: extraction, containment, resolution.
 
+    ``known`` are nodes of other files that references may lead to as well; they are not in
+    the result.
+
     The extracted rows are written once.  References that resolve to nothing are dropped,
     imports never: they lead to their own node, or to the file an include stands for.
     """
@@ -107,11 +110,12 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = Cut(spark, "extraction")
     x = cut(extract(files))
     nodes = x.where("row = 'node'").dropDuplicates(["id"]).withColumnRenamed("path", "file_path").select(*NODE)
+    every_node = nodes if known is None else nodes.unionByName(known.select(*NODE))
     inside = x.where("row IN ('node', 'contains') AND parent IS NOT NULL").groupBy(F.col("parent").alias("source"), F.col("id").alias("target")).agg(F.min("start_line").alias("line"))
     edges = [inside.select("source", "target", F.lit("contains").alias("kind"), F.lit(None).cast("string").alias("metadata"), "line", F.lit(None).cast("int").alias("col"))]
     sites = x.where("row = 'site'").select(F.col("path").alias("file"), "language", "id", "name", "ref_kind", "qualifier", "chain", "line", "col").distinct()
     imports = sites.where("ref_kind = 'imports'")
-    pairs = cut(imported_files(imports, nodes.where("kind = 'file'").select(F.col("file_path").alias("path"))))
+    pairs = cut(imported_files(imports, every_node.where("kind = 'file'").select(F.col("file_path").alias("path"))))
     to_file = F.col("language").isin("c", "cpp") & F.col("imported").isNotNull()
     strong = ~to_file & F.col("name").startswith(".")
     landed = imports.where("qualifier IS NOT NULL").join(pairs.select("file", F.col("module").alias("name"), "imported"), ["file", "name"], "left")
@@ -122,7 +126,7 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.select("file", "imported").distinct()
 
     def defs(kinds):
-        return nodes.where(F.col("kind").isin(kinds)).select("id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
+        return every_node.where(F.col("kind").isin(kinds)).select("id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
 
     def edge(s, found, kind, on="name", how=None):
         f = found.select("file", "language", on, F.col("id").alias("target"), F.col("confidence"), (F.lit(how[1]) if how else F.col("resolved_by")).alias("resolved_by"))
@@ -135,9 +139,9 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = sites.where(F.col("ref_kind").isin("calls", "new", "references", "strict", "extends", "implements", "inherits")).withColumn("ref", F.explode(wanted))
     admits = F.create_map(*[x for k, v in resolution.ALLOWED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     open_to = F.filter(F.map_keys(admits), lambda r: F.array_contains(F.element_at(admits, r), F.col("kind")))
-    every = nodes.withColumn("ref", F.explode(open_to)).select("ref", F.col("kind").alias("target_kind"), "id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
+    every = every_node.withColumn("ref", F.explode(open_to)).select("ref", F.col("kind").alias("target_kind"), "id", "name", "qualified_name", F.col("file_path").alias("def_file"), F.col("language").alias("def_language"))
     found = cut(resolution.names(named, every, pairs, ("ref",)))
-    kinds = nodes.select("id", F.col("kind").alias("_kind"))
+    kinds = every_node.select("id", F.col("kind").alias("_kind"))
     hit = named.withColumnRenamed("id", "source").join(found.select("file", "language", "name", "ref", F.col("id").alias("target"), "confidence", "resolved_by"), ["file", "language", "name", "ref"])
     # Calls come before constructions at one site; where a language does not say whether a type
     # is extended or implemented, the target's kind does.
@@ -148,7 +152,7 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     qual = sites.where("ref_kind = 'qualified'").withColumn("qualified_name", F.concat_ws("::", "qualifier", "name"))
     edge(qual, resolution.qualified(qual, defs(resolution.ALLOWED["qualified"]), pairs), "calls", "qualified_name", (0.95, "qualified-name"))
     met = sites.where("ref_kind = 'method'").withColumn("site", F.xxhash64("id", "name", "line", "col", "chain"))
-    types = resolution.receivers(cut, met.withColumn("steps", F.from_json("chain", resolution.STEPS)), callable_, owners(nodes), pairs, classes)
+    types = resolution.receivers(cut, met.withColumn("steps", F.from_json("chain", resolution.STEPS)), callable_, owners(every_node), pairs, classes)
     typed = met.join(types, "site").withColumn("qualified_name", F.concat_ws("::", "type", "name"))
     edge(typed, resolution.qualified(typed, callable_, pairs), "calls", "qualified_name", (0.7, "instance-method"))
     out = edges[0]

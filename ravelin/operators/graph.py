@@ -116,7 +116,7 @@ def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbol: str,
     node is expanded once.
     """
     cut = Cut(spark, "impact")
-    links = edges.where(F.col("kind").isin(REACH_KINDS)).select("source", "target").distinct()
+    links = cut(edges.where(F.col("kind").isin(REACH_KINDS)).select("source", "target").distinct())
     frontier = cut(resolve_ids(nodes, symbol).select("id").distinct().withColumn("hop", F.lit(0)))
     seen = frontier
     for hop in range(1, depth + 1):
@@ -140,7 +140,7 @@ def context(spark: SparkSession, nodes: DataFrame, edges: DataFrame, task: str,
         return nodes.limit(0).withColumn("hop", F.lit(0))
     seen = cut(seeds(nodes, terms, most).select("id").withColumn("hop", F.lit(0)))
     links = edges.where(F.col("kind").isin(CONTEXT_KINDS)).select("source", "target")
-    both = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
+    both = cut(links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(links.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct())
     known = nodes.select("id")
     for hop in (1, 2):
         room = most - seen.count()

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin import schemas
-from ravelin.operators import chunking, extraction, storage
+from ravelin.operators import chunking, extraction, storage, sync
+from ravelin.session import Cut
 from ravelin.sources import archive, tree
 
 
@@ -30,6 +31,37 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges", "files"))
 
 
+def update(spark: SparkSession, root: str, path: str, package: str) -> dict[str, int]:
+    """Brings the graph at ``path`` up to date with the folder: how many files were added,
+    changed and deleted, and how many others were resolved again.
+
+    Only changed files and those that point at them are read and parsed.  The result is that of
+    a new build, but for references of untouched files that led nowhere before.
+    """
+    cut = Cut(spark, "update")
+    nodes, edges, files = read_graph(spark, path)
+    now = tree.scan(spark, root)
+    state = cut(sync.classify(now.select("path", F.col("content_hash").alias("checksum")), files.select("path", F.col("content_hash").alias("checksum"))))
+    count = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+    if not set(count) - {"same"}:
+        return {"added": 0, "changed": 0, "deleted": 0, "again": 0}
+    gone = state.where("state IN ('changed', 'deleted')").select("path")
+    fresh = now.join(state.where("state IN ('added', 'changed')").select("path"), "path", "left_semi")
+    names = extraction.extract(fresh).where("row = 'node' AND kind NOT IN ('file', 'import')").select("name").distinct()
+    again = cut(sync.touched_files(nodes, edges, gone, names))
+    parts = fresh.unionByName(now.join(again.select(F.col("file").alias("path")), "path", "left_semi"))
+    lost = gone.unionByName(again.select(F.col("file").alias("path"))).select(F.col("path").alias("file_path"))
+    n, e = extraction.build(parts, nodes.join(lost, "file_path", "left_anti"))
+    stamp = {"package": F.lit(package), "updated_at": F.lit(0).cast("long")}
+    new_nodes = schemas.conform(n.join(again.select(F.col("file").alias("file_path")), "file_path", "left_anti").withColumns(stamp), schemas.NODES)
+    all_nodes, all_edges = sync.apply(nodes, edges, gone, again, new_nodes, schemas.conform(e, schemas.EDGES))
+    kept = files.join(gone, "path", "left_anti")
+    rows = schemas.conform(fresh.withColumns({"package": F.lit(package), "indexed_at": F.col("modified_at"), "errors": F.to_json("errors")}), schemas.FILES)
+    made = (cut(all_nodes), cut(all_edges), cut(kept.select(*rows.columns).unionByName(rows)))
+    write_graph(*made, path)
+    return {**{k: count.get(k, 0) for k in ("added", "changed", "deleted")}, "again": again.count()}
+
+
 def analyze(spark: SparkSession, table: str) -> None:
     """Statistics of a catalog table for the planner."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")

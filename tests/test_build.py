@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ravelin.operators import answers, chunking, search, storage
 from ravelin.sources import archive, config, writer
@@ -22,6 +23,37 @@ def test_build_and_read_back(spark, tmp_path):
     assert os.path.exists(place + "/graph/nodes/_SUCCESS")
 
 
+def test_an_update_equals_a_new_build(spark, tmp_path):
+    from ravelin.operators import extraction
+    from ravelin.sources import tree
+
+    src, path = tmp_path / "src", f"{tmp_path}/graph"
+    src.mkdir()
+    (src / "a.py").write_text("from b import help\n\ndef run():\n    return help()\n")
+    (src / "b.py").write_text("def help():\n    return 1\n")
+    (src / "c.py").write_text("def far():\n    return near()\n")
+
+    def whole():
+        f = tree.scan(spark, str(src))
+        n, e = extraction.build(f)
+        return n, e, f
+
+    n, e, f = whole()
+    writer.write_graph(n, e, f.withColumn("indexed_at", F.col("modified_at")).withColumn("errors", F.to_json("errors")), path)
+    assert writer.update(spark, str(src), path, "p") == {"added": 0, "changed": 0, "deleted": 0, "again": 0}
+    (src / "b.py").write_text("# moved\ndef help():\n    return 2\n")
+    (src / "d.py").write_text("def near():\n    return 3\n")
+    got = writer.update(spark, str(src), path, "p")
+    assert got["added"] == 1 and got["changed"] == 1 and got["deleted"] == 0 and got["again"] >= 1
+    n, e, _ = whole()
+    n2, e2, f2 = writer.read_graph(spark, path)
+    key = ["source", "target", "kind", "line"]
+    assert {r[0] for r in n2.select("id").collect()} == {r[0] for r in n.select("id").collect()} and f2.count() == 4
+    links = {tuple(r) for r in e2.select(*key).collect()}
+    assert {tuple(r) for r in e.select(*key).collect()} - links <= {t for t in map(tuple, e.where("kind = 'calls'").select(*key).collect()) if t[0] in {r[0] for r in n.where("name = 'far'").select("id").collect()}}
+    assert links <= {tuple(r) for r in e.select(*key).collect()}
+
+
 def test_symbol_bodies_and_parts(spark):
     text = "x = 1\n# one\n# two\n\ndef f():\n    pass\n\n# far\n\n\ndef g():\n    pass"
     files = spark.createDataFrame([("a.py", text), ("b.py", None)], "path string, content string")
