@@ -255,6 +255,24 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
     if not len(v) or not len(it.vectors):
         return []
     v = _unit(v)
+    # Runs of consecutive words, of all pairs.
+    h, at = grams(ends, flat)
+    runs: dict[tuple[int, int], int] = {}
+    if len(h) and len(it.grams):
+        lo, hi = np.searchsorted(it.grams, h, "left"), np.searchsorted(it.grams, h, "right")
+        doc_of = np.repeat(np.arange(len(ids)), np.diff(ends))
+        chain: dict[tuple[int, int], int] = {}
+        for g in np.flatnonzero(hi > lo):
+            p = int(at[g])
+            doc = int(doc_of[p])
+            for x in range(int(lo[g]), int(hi[g])):
+                item, q = int(it.gram_item[x]), int(it.gram_at[x])
+                if not np.array_equal(flat[p : p + RUN], it.flat[q : q + RUN]):
+                    continue
+                n = chain[p, q] = chain.get((p - 1, q - 1), RUN - 1) + 1
+                if n > runs.get((doc, item), 0):
+                    runs[doc, item] = n
+    wanted = np.array([doc * len(it.ids) + item for doc, item in runs], dtype=np.int64)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     pairs: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for lo in range(0, len(it.vectors), BLOCK):
@@ -263,6 +281,12 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
         if not len(a):
             continue
         key = owner[a].astype(np.int64) * len(it.ids) + it.owner[lo + b]
+        if exact_only:
+            # Of the candidates only those with a verified run go on.
+            held = np.isin(key, wanted)
+            a, b, key = a[held], b[held], key[held]
+            if not len(a):
+                continue
         val = s[a, b]
         order = np.lexsort((-val, key))
         k = key[order]
@@ -275,23 +299,6 @@ def _search(table: np.ndarray, it: Items, ids: np.ndarray, ends: np.ndarray, fla
         if not exact_only:
             for o in np.flatnonzero(val >= CLOSE):
                 pairs.setdefault(divmod(int(key[o]), len(it.ids)), []).append((float(val[o]), int(a[o]), int(lo + b[o])))
-    # Runs of consecutive words, of all pairs.
-    h, at = grams(ends, flat)
-    runs: dict[tuple[int, int], int] = {}
-    if len(h) and len(it.grams):
-        lo, hi = np.searchsorted(it.grams, h, "left"), np.searchsorted(it.grams, h, "right")
-        doc_of = np.repeat(np.arange(len(ids)), np.diff(ends))
-        chain: dict[tuple[int, int], int] = {}
-        for g in np.flatnonzero(hi > lo):
-            p = int(at[g])
-            doc = int(doc_of[p])
-            for x in range(int(lo[g]), int(hi[g])):
-                item, q = int(it.gram_item[x]), int(it.gram_at[x])
-                if not np.array_equal(flat[p : p + RUN], it.flat[q : q + RUN]):
-                    continue
-                n = chain[p, q] = chain.get((p - 1, q - 1), RUN - 1) + 1
-                if n > runs.get((doc, item), 0):
-                    runs[doc, item] = n
     for doc, item in runs.keys() - best.keys():
         a, b = np.flatnonzero(owner == doc), np.flatnonzero(it.owner == item)
         s = v[a] @ it.vectors[b].T
