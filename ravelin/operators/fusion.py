@@ -43,7 +43,7 @@ def fuse(hits: DataFrame, group: list[str] | None = None) -> DataFrame:
     come from the first hit that has them, the symbol is the longest.
     """
     g = group or []
-    prio = F.when(F.col("origin") == "code", 2).when(F.col("origin") == "codegraph", 1).otherwise(0)
+    prio = F.when(F.col("origin") == "code", 2).when(F.col("origin") == "graph", 1).otherwise(0)
     best = F.struct(prio, F.octet_length(F.coalesce("snippet", F.lit(""))), -F.col("seq"))
     row = F.struct("origin", "package", "path", "start_line", "end_line", "snippet")
     have = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

@@ -154,7 +154,7 @@ def hits(cut: Cut, t: Tables, runs: list[Run], fetch: int) -> DataFrame:
         parts.append(
             g.select(
                 F.lit(r.number).alias("run"), "package", "rank", F.lit(4).alias("backend"), F.col("file_path").alias("path"), "start_line", "end_line",
-                F.coalesce("signature", F.concat_ws(" ", "kind", "name")).alias("snippet"), F.col("qualified_name").alias("symbol"), "kind", "signature", F.lit("codegraph").alias("origin"),
+                F.coalesce("signature", F.concat_ws(" ", "kind", "name")).alias("snippet"), F.col("qualified_name").alias("symbol"), "kind", "signature", F.lit("graph").alias("origin"),
             )
         )
     u = parts[0]

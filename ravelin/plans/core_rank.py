@@ -19,7 +19,7 @@ VARIANTS = [("lex", "frozen header parser"), ("hyde", "a socket is locked"), ("l
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The logged hits as ranked lists: per query and backend, in order of result_id."""
     h = load(spark, d, "search_results").dropDuplicates(["result_id"])
-    origin = F.when(F.col("symbol").isNull(), "docs").when(F.col("kind") == "method", "codegraph").otherwise("code")
+    origin = F.when(F.col("symbol").isNull(), "docs").when(F.col("kind") == "method", "graph").otherwise("code")
     w = Window.partitionBy("query_text", "package", "origin").orderBy("result_id")
     h = h.withColumn("origin", origin).withColumn("rank", F.row_number().over(w)).withColumnRenamed("result_id", "seq")
     original = F.col("seq") % 3 != 0
@@ -139,11 +139,11 @@ def queries():
 
 _T = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
 _H = """h AS (SELECT *, row_number() OVER (PARTITION BY query_text, package, origin ORDER BY seq) AS rank, seq % 3 <> 0 AS from_original FROM (
-SELECT DISTINCT result_id AS seq, query_text, package, path, snippet, start_line, end_line, symbol, kind, signature, CASE WHEN symbol IS NULL THEN 'docs' WHEN kind = 'method' THEN 'codegraph' ELSE 'code' END AS origin FROM search_results)),
+SELECT DISTINCT result_id AS seq, query_text, package, path, snippet, start_line, end_line, symbol, kind, signature, CASE WHEN symbol IS NULL THEN 'docs' WHEN kind = 'method' THEN 'graph' ELSE 'code' END AS origin FROM search_results)),
 r AS (SELECT *, (CASE WHEN from_original THEN 2.0 ELSE 1.0 END)::DOUBLE / (60 + rank) AS rrf FROM h)"""
 _FUSED = """, kk AS (SELECT *, CASE WHEN origin = 'docs' THEN concat_ws(':', package, lower(replace(path, '\\', '/')), sha256(coalesce(snippet, ''))) WHEN start_line > 0 THEN concat_ws(':', package, lower(replace(path, '\\', '/')), start_line::VARCHAR)
   WHEN coalesce(symbol, '') <> '' THEN concat_ws(':', package, lower(replace(path, '\\', '/')), lower(symbol)) ELSE concat_ws(':', package, lower(replace(path, '\\', '/'))) END AS key,
-  CASE origin WHEN 'code' THEN 2 WHEN 'codegraph' THEN 1 ELSE 0 END AS prio FROM r),
+  CASE origin WHEN 'code' THEN 2 WHEN 'graph' THEN 1 ELSE 0 END AS prio FROM r),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_text, key ORDER BY prio DESC, strlen(coalesce(snippet, '')) DESC, seq) AS rn FROM kk),
 f AS (SELECT query_text, key, round(sum(rrf), 9) AS rrf, bool_or(from_original) AS from_original, min(seq) AS seq, count(*) AS hits, max(CASE WHEN rn = 1 THEN origin END) AS origin, max(CASE WHEN rn = 1 THEN package END) AS package,
   max(CASE WHEN rn = 1 THEN path END) AS path, max(CASE WHEN rn = 1 THEN start_line END) AS start_line, max(CASE WHEN rn = 1 THEN end_line END) AS end_line, max(CASE WHEN rn = 1 THEN snippet END) AS snippet,
@@ -225,7 +225,7 @@ gs AS (SELECT nt.*, CASE WHEN tf > 0 THEN round(ln(1 + (cnt - df + 0.5) / (df +
 gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, package ORDER BY score DESC, end_line - start_line NULLS FIRST, qualified_name, id) AS rank FROM gs) WHERE rank <= 20),
 u AS (SELECT run, t.package, rank, 0 AS backend, path, start_line, end_line, substring(content, 1, 600) AS snippet, symbol, kind, signature, 'code' AS origin FROM code_r JOIN code_t t ON t.symbol_id = code_r.id
 UNION ALL SELECT run, t.package, rank, 2, path, start_line, end_line, substring(content, 1, 400), NULL, NULL, NULL, 'docs' FROM docs_r JOIN docs_t t ON t.slice_id = docs_r.id
-UNION ALL SELECT run, package, rank, 4, file_path, start_line, end_line, coalesce(signature, concat_ws(' ', kind, name)), qualified_name, kind, signature, 'codegraph' FROM gr),
+UNION ALL SELECT run, package, rank, 4, file_path, start_line, end_line, coalesce(signature, concat_ws(' ', kind, name)), qualified_name, kind, signature, 'graph' FROM gr),
 pn AS (SELECT package, row_number() OVER (ORDER BY package) AS pno FROM (SELECT DISTINCT package FROM u)),
 r AS (SELECT '{query}' AS query_text, u.*, ((run * 1000000 + pno) * 10 + backend) * 10000 + rank AS seq, run = 0 AS from_original, w::DOUBLE / (60 + rank) AS rrf FROM u JOIN pn USING (package) JOIN wg USING (run))
 {fused}{_POOL}{tail}"""

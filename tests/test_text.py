@@ -80,7 +80,7 @@ HIT = "seq long, package string, origin string, path string, start_line int, end
 
 def test_fusion_sums_and_keeps_the_richest(spark):
     rows = [
-        (1, "p", "codegraph", "A\\b.py", 5, 9, "s", "x", None, None, 0.1, False), (2, "p", "code", "a/b.py", 5, 9, "longer", "xx", "function", "(a)", 0.2, True),
+        (1, "p", "graph", "A\\b.py", 5, 9, "s", "x", None, None, 0.1, False), (2, "p", "code", "a/b.py", 5, 9, "longer", "xx", "function", "(a)", 0.2, True),
         (3, "p", "docs", "d.md", 0, 0, "t", None, None, None, 0.3, True), (4, "p", "docs", "d.md", 0, 0, "t", None, None, None, 0.1, False), (5, None, "docs", None, None, None, None, None, None, None, 0.1, False),
     ]
     f = {r["seq"]: r for r in fusion.fuse(spark.createDataFrame(rows, HIT)).collect()}
