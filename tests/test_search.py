@@ -34,9 +34,10 @@ def shuffled(spark, run) -> int:
     return sum(n for at, n in stages().items() if at not in before)
 
 
-def test_log_has_no_row_for_each_query_and_chunk(spark, folder):
+@pytest.mark.parametrize("query", [core_text.docs_bm25_log, core_text.docs_bm25_index])
+def test_log_has_no_row_for_each_query_and_chunk(spark, folder, query):
     got = []
-    assert shuffled(spark, lambda: got.extend(core_text.docs_bm25_log(spark, folder).collect())) < 20_000
+    assert shuffled(spark, lambda: got.extend(query(spark, folder).collect())) < 20_000
     assert len(got) == 120 and {r["slice_id"] for r in got} == {1, 8, 15}
 
 
