@@ -41,6 +41,12 @@ def test_log_has_no_row_for_each_query_and_chunk(spark, folder, query):
     assert len(got) == 120 and {r["slice_id"] for r in got} == {1, 8, 15}
 
 
+def test_index_answers_every_logged_search(spark, folder):
+    spark.read.parquet(f"{folder}/search_results.parquet").selectExpr("result_id + 7 AS result_id", "query_text").write.mode("append").parquet(f"{folder}/search_results.parquet")
+    got = core_text.docs_bm25_index(spark, folder).collect()
+    assert {r["query_id"] for r in got} == {i * 20 + x for i in range(40) for x in (0, 7)} and len(got) == 240
+
+
 @pytest.mark.parametrize("block, tokens, chunks", [(16_384, 3_000_000, 1 << 17), (128, 500, 200)])
 def test_best_are_those_of_all_scores(spark, monkeypatch, block, tokens, chunks):
     monkeypatch.setattr(inverted, "BLOCK", block)
